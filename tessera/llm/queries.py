@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, decontaminate, licenses, neardup, pii, quality, sharding, token_counts
+from tessera.llm import bpe, common, decontaminate, licenses, neardup, pii, quality, repeats, sharding, token_counts
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated(common.table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +54,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_neardup, op4_pii, op5_token_counts, op6_decontamination, op7_license_scan, op8_sharding, op9_byte_bpe, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_neardup, op4_pii, op5_token_counts, op6_decontamination, op7_license_scan, op8_sharding, op9_byte_bpe, op10_quality_rules)}
+
+ORACLE_SQL = {
+    "op2_substring_dedup": r"""
+        WITH cut AS (
+            SELECT doc_id, string_split(regexp_replace(text, '([.!?][\x20\x09-\x0D]|\n)', '\1' || chr(1), 'g'), chr(1)) AS parts
+            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        parts AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS no FROM cut),
+        placed AS (
+            SELECT doc_id, no, raw, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY no) - length(raw) AS base,
+                trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS bare
+            FROM parts),
+        counted AS (SELECT *, CASE WHEN bare = '' THEN 0 ELSE length(bare) - length(replace(bare, ' ', '')) + 1 END AS n FROM placed),
+        before AS (SELECT *, lag(bare) OVER w AS b, coalesce(lag(n) OVER w, 0) AS bn FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+        keyed AS (SELECT *, CASE WHEN n >= 8 THEN bare WHEN n + bn >= 8 AND bn > 0 THEN b || ' ' || bare END AS key FROM before WHERE n > 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, no) AS place, min(doc_id) OVER (PARTITION BY key) AS first FROM keyed WHERE key IS NOT NULL)
+        SELECT doc_id, (base + length(raw) - length(ltrim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::INTEGER AS start,
+            (base + length(rtrim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::INTEGER AS "end", n::INTEGER AS n_words, first AS first_doc_id
+        FROM ranked WHERE place > 1""",
+}
