@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, decontaminate, licenses, neardup, pii, quality, repeats, sharding, token_counts
+from tessera.llm import bpe, common, decontaminate, licenses, maxent, neardup, pii, quality, repeats, sharding, token_counts
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(common.table(spark, sf_dir, "documents"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_minhash_neardup, op4_pii, op5_token_counts, op6_decontamination, op7_license_scan, op8_sharding, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_minhash_neardup, op4_pii, op5_token_counts, op6_decontamination, op7_license_scan, op8_sharding, op9_byte_bpe, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
