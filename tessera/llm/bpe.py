@@ -18,6 +18,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.llm import common, pretoken
 
@@ -83,18 +84,23 @@ def _shared(docs: DataFrame, path: str, pattern: str):
     return docs.sparkSession.sparkContext.broadcast(Ranks(path, pattern))  # the size of the rank file, whatever the corpus
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, ids array<int>) and the columns in `keep`, of each row."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
+    """(key, ids array<int>) and the columns in `keep`, of each row; with `digest`, decoded_sha256 too, of the bytes that the ids decode to."""
     shared = _shared(docs, path, pattern)
     rows = docs.select(*(F.col(c) for c in (key, *keep)), F.col(text).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("ids", "array<int>")
+    schema = rows.drop("__text").schema.add("ids", ArrayType(IntegerType()))
+    if digest:
+        schema = schema.add("decoded_sha256", "string")
 
     def work():
         coder = Coder(shared.value)
 
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids = pa.array([coder.encode(t) for t in part.column(part.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "ids"])
+            ids = [coder.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
+            columns = [pa.array(ids, pa.list_(pa.int32()))]
+            if digest:
+                columns.append(pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string()))
+            return pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=schema.names)
 
         return each
 

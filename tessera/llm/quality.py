@@ -131,3 +131,9 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     out = found.join(cut, "stratum", "left").withColumn("base_failed", failed)
     out = out.withColumn("rejected_by", F.when(F.col("cut").isNull(), F.lit("")).otherwise(F.concat_ws(",", broken)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")).drop("cut", "stratum")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns; rows that share a key stay only if each of them is kept."""
+    out = judge(docs, labels, text=text, key=key, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
+    return docs.join(out, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__drop")), "left_anti")

@@ -58,7 +58,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_minhash_neardup, op4_pii, op5_token_counts, op6_decontamination, op7_license_scan, op8_sharding, op9_byte_bpe, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_minhash_neardup, op4_pii, op5_token_counts, op6_decontamination, op7_license_scan, op8_sharding, op9_byte_bpe, op10_quality_rules, pipeline)}
 
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
