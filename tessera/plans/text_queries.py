@@ -126,7 +126,7 @@ def header_detect(spark: SparkSession, d: str) -> DataFrame:
 )
 def contextual_header(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    short = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x).between(5, 60))
+    short = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).between(5, 60))
     return docs.select(
         "doc_id", text.header_path(short).alias("path"), text.contextual_header(F.concat_ws("_", "source", "lang"), F.col("lang"), F.col("doc_id") % 7).alias("header"),
         F.md5(text.injected(F.col("source"), F.col("lang"), F.col("lang"), F.col("text"))).alias("injected_md5"),
