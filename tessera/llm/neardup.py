@@ -34,6 +34,9 @@ from tessera.llm import common
 
 #: Words in a shingle, least similarity (as a part of 100), bands, coordinates in a band, words whose hashes a worker remembers.
 SPAN, LEAST, BANDS, ROWS, MEMO = 5, 75, 36, 4, 500_000
+#: Bands, coordinates in a band and coordinates at all where buckets hold members that the first banding leaves open;
+#: standard deviations below what linked sets agree in on average, at which a pair is let go.
+FINE_BANDS, FINE_ROWS, FINE_ALL, SPREAD = 130, 8, 2_432, 4.75
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -125,11 +128,8 @@ def _sketched(docs: DataFrame, text: str, key: str, span: int, bands: int, rows:
     return common.annotate(docs, text, key, "n_shingles long, digest binary, bands array<long>", work, as_bytes=True)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, span: int, least: int, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts are brought to pairs; a smaller b's are met together."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
-    texts = common.written(own.join(ids, "doc_id", "left_semi"), "texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame, span: int, least: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; pairs come to a task in the order of a, whose set is made once."""
     met = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     met = met.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -175,34 +175,40 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("l").alias("component"))
 
 
-def _rest(members: DataFrame, docs: DataFrame, span: int, least: int, text: str, key: str) -> DataFrame:
-    """Links between different components of (node, component): exact, by rarest shingles first."""
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("node"), F.col(f"`{text}`").cast("string").cast("binary").alias("text")).join(members, "node")
+def _rest(members: DataFrame, texts: DataFrame, span: int, least: int) -> DataFrame:
+    """Links between different components of (node, component), by finer bands and sketches."""
+    own = texts.withColumnRenamed("doc_id", "node").join(members, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for part in common.slices(batch, "text", 1 << 20):
-                sets = shingle_sets(part.column(1).to_pylist(), words, span)
-                n = [len(s) for s in sets]
-                wide = lambda c: pa.array(np.repeat(c.to_numpy(), n), pa.int64())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([wide(part.column(0)), wide(part.column(2)), pa.array(np.repeat(n, n), pa.int64()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["node", "component", "n", "token"])
-
-    tokens = common.written(own.select("node", "text", "component").mapInArrow(run, "node long, component long, n long, token long"), "tokens")
-    # A shingle of one component only can link nothing here, but counts in the order.
-    seen = tokens.groupBy("token").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
-    ranked = tokens.join(seen, "token").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", "mixed"))).alias("order"))
-    prefix = F.expr(f"slice(order, 1, cast(n - ceil(n * {least} / 100.0) + 1 AS int))")
-    rare = ranked.select("node", "component", "n", F.explode(prefix).alias("x")).filter("x.mixed").select("node", "component", "n", F.col("x.token").alias("token"))
-    rare = common.written(rare, "prefixes")
-    # First which components meet on a shingle, then their members: none are paired within a component.
-    meet = rare.select("token", "component").distinct()
-    meet = meet.select("token", F.col("component").alias("ca")).join(meet.select("token", F.col("component").alias("cb")), "token").filter("ca < cb")
-    left = rare.select("token", F.col("component").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"))
-    right = rare.select("token", F.col("component").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"))
-    found = meet.join(left, ["token", "ca"]).join(right, ["token", "cb"]).filter(f"100 * least(nx, ny) >= {least} * greatest(nx, ny)")
-    pairs = common.written(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
-    return _confirmed(pairs, docs, span, least, text, key)
+            for part in common.slices(batch, "text", 1 << 19):
+                sets = shingle_sets(part.column(2).to_pylist(), words, span)
+                sketch = sketches(sets, FINE_ALL)
+                keys = band_keys(np.ascontiguousarray(sketch[:, : FINE_BANDS * FINE_ROWS]), FINE_BANDS, FINE_ROWS).astype(np.int32)
+                bits = np.packbits((sketch & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)  # one bit of each coordinate
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), listed(bits), listed(keys)], names=["node", "component", "n", "bits", "keys"])
+
+    fine = common.written(own.select("node", "component", "text").mapInArrow(run, "node long, component long, n long, bits array<long>, keys array<int>"), "fine")
+    each = fine.select("node", "component", F.posexplode("keys").alias("band", "k")).select("node", "component", "band", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("k")).alias("key"))
+    # Where components meet on a key, its largest one is told apart: pairs within it are never looked at, however many.
+    sizes = each.groupBy("key", "component").agg(F.count("*").alias("c"))
+    meet = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("major")).filter("components > 1").select("key", "major")
+    mixed = each.join(meet, "key").select("key", "band", "node", (F.col("component") == F.col("major")).alias("major"))
+    mixed = common.written(mixed.join(fine, "node"), "mixed")
+    side = lambda df, p: df.select("key", "band", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "n", "bits", "keys")))
+    agree = (1 + least / 100) / 2
+    apart = int(FINE_ALL * (1 - agree) + SPREAD * (FINE_ALL * agree * (1 - agree)) ** 0.5)
+    near = f"""100 * least(a_n, b_n) >= {least} * greatest(a_n, b_n)
+        AND aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {apart}
+        AND NOT exists(zip_with(slice(a_keys, 1, band), slice(b_keys, 1, band), (x, y) -> x = y), z -> z)"""
+    minor, major = mixed.filter("NOT major"), mixed.filter("major")
+    among = side(minor, "a").join(side(minor, "b"), ["key", "band"]).filter(f"a_node < b_node AND a_component <> b_component AND {near}")
+    against = side(minor, "a").join(side(major, "b"), ["key", "band"]).filter(near)
+    found = among.select("a_node", "b_node").union(against.select("a_node", "b_node"))
+    pairs = common.written(found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "rest")
+    return _confirmed(pairs, texts, span, least)
 
 
 def link(docs: DataFrame, span: int = SPAN, least: int = LEAST, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -214,18 +220,30 @@ def link(docs: DataFrame, span: int = SPAN, least: int = LEAST, bands: int = BAN
     banded = alone.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a <> top").select("key", "a")
     met = common.written(banded.join(buckets, "key").filter("node <> a").select("key", "a", F.col("node").alias("b")), "met")
-    links = common.written(_confirmed(met.select("a", "b").distinct(), docs, span, least, text, key), "links")
+    # All that is compared, now or later, stands in such a bucket: its texts are gathered once.
+    ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    texts = common.written(own.join(ids, "doc_id", "left_semi"), "texts")
+    # Each is compared with the smallest of all its buckets' first, which settles most; then with the others' that are still of another component.
+    first = common.written(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = common.written(_confirmed(first, texts, span, least), "links")
     # One document may have rows with different texts: its classes are one node.
     same = sets.join(classes, "digest").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     split = sets.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select(F.col("doc_id").alias("b"))
     links = common.written(links.union(same.join(split, "b").select("a", "b")), "links")
     found = components(links)
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    other = met.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    other = common.written(other.select("a", "b").join(first, ["a", "b"], "left_anti"), "other")
+    if other.limit(1).count():
+        links = common.written(links.union(_confirmed(other, texts, span, least)), "links")
+        found = components(links)
     # Members of a bucket that are neither in one component nor were compared with each other.
     labelled = met.select("key", F.col("b").alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     rest = common.written(labelled.join(open_keys, "key", "left_semi").select("node", "component").distinct(), "open")
     if rest.limit(1).count():
-        more = common.written(_rest(rest, docs, span, least, text, key), "links")
+        more = common.written(_rest(rest, texts, span, least), "links")
         if more.limit(1).count():
             found = components(links.union(more))
     named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
