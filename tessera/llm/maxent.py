@@ -28,18 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
 #: Words known on every worker, groups, tiers of hot words in a group, buckets of word ends, hashed features, gradient steps, their length.
-HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 14, 24, 0.4
+HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 24, 0.4
 #: The end of a text; no word holds white space.
 END = b"\n"
 #: Words that a worker counts before it passes their counts on.
 FLUSH = 300_000
 FEATURES = 5
+#: Tasks of a gradient step.
+TASKS = 4
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -117,30 +119,33 @@ def vocabulary(counts: DataFrame, hot: int = HOT, groups: int = GROUPS, tiers: i
         total[r["end"]] += r["n"]
         once[r["end"]] += r["once"]
     ends = votes.argmax(axis=1)
-    top = counts.filter("n >= 2").orderBy(F.desc("n"), "word").select("word", "n", "grp").limit(hot).toPandas()
-    words = [bytes(w) for w in top["word"]]
-    n = top["n"].to_numpy(dtype=np.int64)
-    grp = np.array([names.get(g, 0) for g in top["grp"]], dtype=np.int64)
+    # The least count at which no more than `hot` words are left, from how many words there are of each count.
+    of_count = counts.filter("n >= 2").groupBy("n").agg(F.count("*").alias("words"))
+    below = F.sum("words").over(Window.orderBy(F.desc("n")))  # a row for each count that occurs, about the square root of all tokens at most
+    least = of_count.withColumn("total", below).filter(F.col("total") <= hot).agg(F.min("n")).first()[0]
+    top = counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n", "grp").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    words = top.column("word").to_pylist()
+    n = top.column("n").to_numpy().astype(np.int64)
+    groups_of = top.column("grp").to_pylist()
+    grp = np.array([names.get(g, 0) for g in groups_of], dtype=np.int64)
     classes = n_groups * (tiers + 1) + 1
     of = np.zeros(len(words), dtype=np.int64)
     for g in range(n_groups):
         rows = np.flatnonzero(grp == g)
         before = np.cumsum(n[rows]) - n[rows]
         of[rows] = g * (tiers + 1) + np.minimum(before * tiers // max(1, n[rows].sum()), tiers - 1)
-    # The end of a text is a class of its own, hot or not.
-    n_end = next((int(c) for w, c in zip(words, n, strict=True) if w == END), 1)
+    # The end of a text is a class of its own, and known to all, hot or not.
     if END not in words:
-        words, n, of = [*words, END], np.append(n, 1), np.append(of, 0)
+        ended = counts.filter(F.col("word") == F.lit(END)).select("n").first()
+        words, n, of = [*words, END], np.append(n, ended["n"] if ended else 0), np.append(of, 0)
     of[words.index(END)] = classes - 1
     known = {w: i for i, w in enumerate(words)}
     denominators = np.bincount(of, weights=n, minlength=classes).astype(float)
-    denominators[classes - 1] = n_end
     for i, w in enumerate(words):
-        if w != END:
-            total[word_end(w)] -= n[i]
+        total[word_end(w)] -= n[i]
     unseen = np.zeros(n_groups)
     for g in range(n_groups):
-        # Words seen once are never hot, so all of them count here; END, which is no other word, is left out above.
+        # Words seen once are never hot, so all of them count here.
         part = once[ends == g].sum() + 1
         unseen[g] = np.log10(part)
         denominators[g * (tiers + 1) + tiers] = max(0.0, total[ends == g].sum()) + part
@@ -205,34 +210,39 @@ def train(events: DataFrame, classes: int, hashed: int = HASHED, steps: int = ST
     A step is scaled for each weight by the counts that were seen and expected, so frequent and rare features move alike.
     """
     spark = events.sparkSession
+    # The events are few whatever the corpus, and so are the tasks, each of which sends a gradient of all weights.
+    events = events.coalesce(TASKS)
     weights = np.zeros((hashed, classes), dtype=np.float32)
-    size = hashed * classes
-    for step in range(steps):
-        shared = spark.sparkContext.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w = shared.value
-            total = np.zeros((2, hashed, classes), dtype=np.float64)
-            met = False
+    def summed(given: np.ndarray | None) -> np.ndarray:
+        """The counts by feature and class: those seen, or those that weights lead to expect."""
+        shared = spark.sparkContext.broadcast(given)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, total, met = shared.value, np.zeros((hashed, classes)), False
             for batch in batches:
                 met = met or batch.num_rows > 0
                 contexts, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-                seen = np.zeros((len(contexts), classes))
-                np.add.at(seen, (at, batch.column(1).to_numpy()), batch.column(2).to_numpy())
-                expected = seen.sum(axis=1, keepdims=True) * np.exp(log_shares(contexts, w))
+                counts = np.zeros((len(contexts), classes))
+                np.add.at(counts, (at, batch.column(1).to_numpy()), batch.column(2).to_numpy())
+                if w is not None:
+                    counts = counts.sum(axis=1, keepdims=True) * np.exp(log_shares(contexts, w))
                 for k in features(contexts, classes, hashed).T:
-                    np.add.at(total[0], k, seen)
-                    np.add.at(total[1], k, expected)
+                    np.add.at(total, k, counts)
             if met:
                 yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
 
-        total = np.zeros((2, hashed, classes))
+        out = np.zeros((hashed, classes))
         for r in events.mapInArrow(run, "sums binary").collect():
-            total += np.frombuffer(bytes(r["sums"]), dtype=np.float32)[: 2 * size].reshape(2, hashed, classes)
-        seen, expected = total
-        length = 1.0 if step == 0 else rate
-        weights = (weights + length * (2 / FEATURES if step else 1) * (seen - expected) / (0.5 * (seen + expected) + 1)).astype(np.float32)
+            out += np.frombuffer(bytes(r["sums"]), dtype=np.float32).reshape(hashed, classes)
         shared.destroy()
+        return out
+
+    seen = summed(None)
+    for step in range(steps):
+        expected = summed(weights)
+        length = rate * 2 / FEATURES if step else 1.0
+        weights = (weights + length * (seen - expected) / (0.5 * (seen + expected) + 1)).astype(np.float32)
     return weights
 
 
@@ -245,14 +255,14 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str |
     counts = common.written(word_counts(learnt.select("text", "grp")), "words")
     v = vocabulary(counts, hot)
     shared = spark.sparkContext.broadcast(v)
-    events = common.written(event_counts(learnt.select("text"), shared, v.classes).repartition(6, "context"), "events")
+    events = common.written(event_counts(learnt.select("text"), shared, v.classes), "events")
     model = spark.sparkContext.broadcast(train(events, v.classes, steps=steps))
     ten = 1 / np.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, weights = shared.value, model.value
         lookup = v.lookup()
-        base_of, share_of = np.log10(v.hot_count + 1.0), np.log10(v.hot_count.astype(float))
+        base_of, share_of = np.log10(v.hot_count + 1.0), np.log10(np.maximum(v.hot_count, 1).astype(float))
         for batch in batches:
             for part in common.slices(batch, "text"):
                 split, n, found, of, context = class_runs(part.column(1).to_pylist(), lookup, v)
