@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in a loop by a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/tessera/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tessera.scratch import written
 
 
 def nodes(mentions: DataFrame, least: int = 1) -> DataFrame:
@@ -79,12 +71,12 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int | No
 
     starts: (start). Each level is one join of the frontier with the edges and one anti join with what was met.
     """
-    around = _cut(both_ways(edges))
+    around = written(both_ways(edges), "graph")
     met = starts.select("start", F.col("start").alias("entity"), F.lit(0).alias("depth"))
     frontier = met
     for d in range(1, depth + 1):
         new = frontier.join(around, frontier["entity"] == around["a"]).select("start", F.col("b").alias("entity")).distinct()
-        frontier = _cut(new.join(met.select("start", "entity"), ["start", "entity"], "left_anti").select("start", "entity", F.lit(d).alias("depth")))
+        frontier = written(new.join(met.select("start", "entity"), ["start", "entity"], "left_anti").select("start", "entity", F.lit(d).alias("depth")), "graph")
         met = met.unionByName(frontier)
     order = Window.partitionBy("start").orderBy("depth", "entity")
     return met.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r") if most else met
@@ -110,14 +102,14 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 6) -> Data
 
     All pairs advance together, a level a join; at each level a node keeps its least path.
     """
-    around = _cut(both_ways(edges).withColumnRenamed("a", "u").withColumnRenamed("b", "v"))
-    asked = _cut(pairs.select("a", "b").distinct())
+    around = written(both_ways(edges).withColumnRenamed("a", "u").withColumnRenamed("b", "v"), "graph")
+    asked = written(pairs.select("a", "b").distinct(), "graph")
     frontier = asked.select("a").distinct().select("a", F.col("a").alias("at"), F.array("a").alias("path"))
     met = frontier
     for _ in range(longest):
         new = frontier.join(around, frontier["at"] == around["u"]).select("a", F.col("v").alias("at"), F.concat("path", F.array("v")).alias("path"))
         new = new.join(met.select("a", "at"), ["a", "at"], "left_anti").groupBy("a", "at").agg(F.min("path").alias("path"))
-        frontier = _cut(new)
+        frontier = written(new, "graph")
         if frontier.isEmpty():
             break
         met = met.unionByName(frontier)
@@ -130,8 +122,8 @@ def pagerank(edges: DataFrame, node_table: DataFrame | None = None, damping: flo
     if node_table is None:
         node_table = edges.select(F.col("src").alias("entity")).union(edges.select(F.col("dst").alias("entity"))).distinct()
     weights = edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    weights = _cut(weights.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share"))
-    base = _cut(node_table.select("entity").distinct().join(weights.select(F.col("src").alias("entity")).distinct().withColumn("feeds", F.lit(True)), "entity", "left"))
+    weights = written(weights.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share"), "graph")
+    base = written(node_table.select("entity").distinct().join(weights.select(F.col("src").alias("entity")).distinct().withColumn("feeds", F.lit(True)), "entity", "left"), "graph")
     n = base.count()
     ranks = base.select("entity", "feeds", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(1, rounds + 1):
@@ -140,7 +132,7 @@ def pagerank(edges: DataFrame, node_table: DataFrame | None = None, damping: flo
         joined = base.join(flow, "entity", "left").join(F.broadcast(loose), how="cross")  # one row
         ranks = joined.select("entity", "feeds", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / max(n, 1))).alias("rank"))
         if i % cut_each == 0 or i == rounds:
-            ranks = _cut(ranks)
+            ranks = written(ranks, "graph")
     return ranks.select("entity", "rank")
 
 
