@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from tessera.scratch import written  # noqa: F401 - the operators take it from here
+
 #: Bytes of text that a Python worker holds as objects at a time, unless one row alone is longer.
 SLICE_BYTES = 4 << 20
 
@@ -21,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit; what is left is in the scratch folder
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: cuts the lineage, and a lost executor costs nothing that was written.
-
-    The table goes when the session's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, each with at most that many bytes of text or one row."""
     n = batch.num_rows

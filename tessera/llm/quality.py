@@ -101,15 +101,14 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
     grid = F.create_map(*(x for name, g in RULES.items() for x in (F.lit(name), F.array(*map(F.lit, map(float, g))))))
     tried = held.select("stratum", "rule", "n", "bars", F.posexplode(F.element_at(grid, F.col("rule"))).alias("i", "cutoff"))
     tried = tried.withColumn("k", F.expr("aggregate(filter(bars, b -> b.above > i), 0L, (a, b) -> a + b.n)")).drop("bars")
-    strata = labelled.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    strata = labelled.select("stratum").distinct().count()
     risk = alpha / len(RULES)
-    tried = tried.crossJoin(F.broadcast(strata))  # one row
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     # The tail from its largest term down: terms fall at least by the ratio k(1-p)/((n-k+1)p) < 1, so the fold ends early in effect.
     top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(risk) + (n - k) * math.log1p(-risk)
     tried = tried.filter(F.col("k") <= F.col("n") * risk).withColumn("top", top)
     tail = f"aggregate(CASE WHEN k > 0 THEN sequence(k, 1L, -1L) ELSE cast(array() AS array<bigint>) END, named_struct('term', 1.0D, 'sum', 1.0D), (a, j) -> named_struct('term', a.term * j * {1 - risk!r}D / ((n - j + 1) * {risk!r}D), 'sum', a.sum + a.term * j * {1 - risk!r}D / ((n - j + 1) * {risk!r}D)), a -> top + ln(a.sum))"
-    shown = tried.filter(F.expr(tail) <= F.log(F.lit(delta) / (F.lit(float(len(RULES))) * F.col("strata"))))
+    shown = tried.filter(F.expr(tail) <= math.log(delta / (len(RULES) * max(strata, 1))))
     # k falls as the cutoff rises, so the tests that hold are those from the loosest down to the first failure.
     return shown.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
