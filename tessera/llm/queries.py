@@ -72,20 +72,23 @@ RISK = repr(quality.ALPHA / len(quality.RULES))
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
         WITH cut AS (
-            SELECT doc_id, string_split(regexp_replace(text, '([.!?][\x20\x09-\x0D]|\n)', '\1' || chr(1), 'g'), chr(1)) AS parts
+            SELECT doc_id, string_split(regexp_replace(text, '([.!?,;:][\x20\x09-\x0D]|\n)', '\1' || chr(1), 'g'), chr(1)) AS parts
             FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         parts AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS no FROM cut),
         placed AS (
             SELECT doc_id, no, raw, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY no) - length(raw) AS base,
                 trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS bare
             FROM parts),
-        counted AS (SELECT *, CASE WHEN bare = '' THEN 0 ELSE length(bare) - length(replace(bare, ' ', '')) + 1 END AS n FROM placed),
-        before AS (SELECT *, lag(bare) OVER w AS b, coalesce(lag(n) OVER w, 0) AS bn FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
-        keyed AS (SELECT *, CASE WHEN n >= 8 THEN bare WHEN n + bn >= 8 AND bn > 0 THEN b || ' ' || bare END AS key FROM before WHERE n > 0),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, no) AS place, min(doc_id) OVER (PARTITION BY key) AS first FROM keyed WHERE key IS NOT NULL)
-        SELECT doc_id, (base + length(raw) - length(ltrim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::INTEGER AS start,
-            (base + length(rtrim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::INTEGER AS "end", n::INTEGER AS n_words, first AS first_doc_id
-        FROM ranked WHERE place > 1""",
+        units AS (SELECT doc_id, no, bare, length(bare) - length(replace(bare, ' ', '')) + 1 AS n,
+            base + length(raw) - length(ltrim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS first,
+            base + length(rtrim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS last FROM placed WHERE bare <> ''),
+        summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY no) AS total FROM units),
+        words AS (SELECT doc_id, string_split(string_agg(bare, ' ' ORDER BY no), ' ') AS w FROM units GROUP BY 1),
+        runs AS (SELECT a.doc_id, a.no, b.first, a.last, a.total - b.total + b.n AS n, b.total - b.n AS before, a.total
+            FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.no <= a.no AND a.total - b.total + b.n >= 8 AND a.total - b.total < 8),
+        keyed AS (SELECT r.*, array_to_string(w[before + 1 : total], ' ') AS key FROM runs r JOIN words USING (doc_id)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, no) AS place, min(doc_id) OVER (PARTITION BY key) AS first_doc_id FROM keyed)
+        SELECT doc_id, first::INTEGER AS start, last::INTEGER AS "end", n::INTEGER AS n_words, first_doc_id FROM ranked WHERE place > 1""",
     "op3_minhash_neardup": rf"""
         WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),

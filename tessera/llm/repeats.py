@@ -1,10 +1,10 @@
-"""Substring dedup by hashing of lines and the sentences in them.
+"""Substring dedup by hashing of lines and the clauses in them.
 
-A text is cut into units behind line ends and behind . ! ? with white space. A unit is normalised (A-Z in lower case,
-white space runs as one blank) and known by its digest; one of fewer than `least` words counts together with the unit
-before it, so that short sentences inside a repeated passage are found and short sentences that recur by chance are
+A text is cut into units behind line ends and behind . ! ? , ; : with white space. A unit is normalised (A-Z in lower
+case, white space runs as one blank) and taken with as many units before it as it takes to have `least` words; that run
+is known by its digest. So short units inside a repeated passage are found, and short ones that recur by chance are
 not. Digests are grouped over all documents. The earliest occurrence, by document id and then place, is kept; every
-other one is reported with its place in the original text, in code points, end exclusive.
+other one is reported with its place in the original text, in code points, end exclusive. Runs may overlap.
 
 Inputs: null and empty texts have no units; rows with equal keys are one document, of which each row keeps what is
 earliest; rows with a null key are left alone; an empty table gives an empty one; only the key and the text column are
@@ -24,34 +24,38 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Words that a unit, or a short one with the unit before it, needs.
+#: Words that a unit needs, alone or with those before it.
 LEAST = 8
-CUT = re.compile("[.!?][\x20\x09-\x0d]|\n")
+CUT = re.compile("[.!?,;:][\x20\x09-\x0d]|\n")
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def units(text: str | None, least: int = LEAST) -> list[tuple[int, int, int, bytes, bool]]:
-    """(start, end, words, digest, whether it stood in this text before) of each unit that counts; a place holds no outer white space."""
+    """(start, end, words, digest, whether it stood in this text before) of the run that ends with each unit, where there is one; no outer white space."""
     if not text:
         return []
-    out, seen, start, before = [], set(), 0, []
+    out, seen, start, words = [], set(), 0, []
+    begins: list[tuple[int, int]] = []  # of each unit: its place, and the number of words before it
     for end in [*(m.end() for m in CUT.finditer(text)), len(text)]:
         raw = text[start:end]
-        words = raw.encode().lower().split()
-        if words:
-            own = words if len(words) >= least else before + words
-            if len(own) >= least:
-                digest = hashlib.md5(b" ".join(own), usedforsecurity=False).digest()
-                bare = raw.strip(" \t\n\x0b\x0c\r")
-                at = start + len(raw) - len(raw.lstrip(" \t\n\x0b\x0c\r"))
-                out.append((at, at + len(bare), len(words), digest, digest in seen))
+        own = raw.encode().lower().split()
+        if own:
+            begins.append((start + len(raw) - len(raw.lstrip(SPACE)), len(words)))
+            words += own
+            first = len(begins) - 1
+            while first and len(words) - begins[first][1] < least:
+                first -= 1
+            at, before = begins[first]
+            if len(words) - before >= least:
+                digest = hashlib.md5(b" ".join(words[before:]), usedforsecurity=False).digest()
+                out.append((at, end - len(raw) + len(raw.rstrip(SPACE)), len(words) - before, digest, digest in seen))
                 seen.add(digest)
-        before = words
         start = end
     return out
 
 
 def unit_table(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, start, end, n_words, h1, h2, again): a row for each unit; h1 and h2 are the digest's halves."""
+    """(doc_id, start, end, n_words, h1, h2, again): a row for each run; h1 and h2 are the digest's halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +75,7 @@ def unit_table(docs: DataFrame, least: int = LEAST, text: str = "text", key: str
 
 
 def repeated(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id): a row for each unit that stands earlier, there or in another document."""
+    """(doc_id, start, end, n_words, first_doc_id): a row for each run that stands earlier, there or in another document."""
     found = common.written(unit_table(docs, least, text, key), "units")
     # Within a document each digest is counted once, so what several documents share shows in least and greatest.
     shared = found.filter(~F.col("again")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("h1", "h2", "first")
@@ -79,8 +83,12 @@ def repeated(docs: DataFrame, least: int = LEAST, text: str = "text", key: str =
 
 
 def removed(docs: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the repeated units cut from the text, and `removed`, their places in the original text (null where nothing was removed)."""
-    spans = repeated(docs, least, text, key).distinct().groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    """docs with the repeated runs cut from the text, and `removed`, their merged places in the original text (null where nothing was removed)."""
+    merge = """aggregate(array_sort(collect_list(struct(start, end))), cast(array() AS array<struct<start:int,end:int>>),
+        (acc, x) -> CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
+            THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start, greatest(element_at(acc, -1).end, x.end) AS end)))
+            ELSE concat(acc, array(struct(x.start AS start, x.end AS end))) END)"""
+    spans = repeated(docs, least, text, key).groupBy(F.col("doc_id").alias("__id")).agg(F.expr(merge).alias("__cut"))
     joined = docs.join(spans, F.col(f"`{key}`").cast("long") == F.col("__id"), "left")
     pieces = f"""concat_ws('', transform(sequence(0, size(__cut)), i -> substring(`{text}`,
         CASE WHEN i = 0 THEN 1 ELSE get(__cut, i - 1).end + 1 END,

@@ -210,6 +210,18 @@ def test_repeated_passage_is_caught(spark):
     assert {r["doc_id"] for r in got} == {1, 2} and sum(r["n_words"] for r in got) == 2 * 60 and {r["first_doc_id"] for r in got} == {0}
 
 
+def test_repeated_passage_of_short_clauses_is_caught(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = ", ".join(words(3) for _ in range(20))
+    rows = [(i, f"{words(9)} {passage} {words(9)}. Yes. No.", "en", "s", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = repeats.removed(docs).collect()
+    for r, (i, text, *_) in zip(sorted(got, key=lambda r: r["doc_id"]), rows, strict=True):
+        assert (r["removed"] is None) == (i == 0)
+        assert len(text.split()) - len(r["text"].split()) >= (48 if i else 0)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP, CARD, PHONE = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
