@@ -24,6 +24,8 @@ from tessera.llm import common
 
 #: Accepted false rejections, their confidence, and the words in a window.
 ALPHA, DELTA, SPAN = 0.02, 0.05, 5
+#: Strata whose cutoffs are broadcast; more are joined.
+STRATA = 10_000
 #: White space that separates words, and characters that count as symbols: fixed values of the contract.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Rule -> the grid of candidate cutoffs; a text whose measure is above the cutoff is rejected.
@@ -36,20 +38,22 @@ RULES = {
 }
 
 
-def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", stratum: str | None = "lang") -> DataFrame:
-    """(doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), without a shuffle."""
-    group = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum and stratum in docs.columns else F.lit("")
-    df = docs.select(F.col(key).cast("long").alias("doc_id"), group.alias("stratum"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", stratum: str | None = "lang", whole: bool = False) -> DataFrame:
+    """(doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), without a shuffle; with `whole`, `row` (all columns) instead of doc_id."""
+    group = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")) if stratum and stratum in docs.columns else F.lit("")
+    first = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if whole else F.col(f"`{key}`").cast("long").alias("doc_id")
+    name = "row" if whole else "doc_id"
+    df = docs.select(first, group.alias("stratum"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     bare = F.length(F.translate("t", SPACE, ""))
     df = df.select(
-        "doc_id", "stratum",
+        name, "stratum",
         F.expr(r"filter(split(t, '[\\x20\\x09-\\x0D]+'), w -> w != '')").alias("words"),
         bare.cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.expr(r"filter(split(t, '\n'), l -> length(translate(l, ' \t\x0b\x0c\r', '')) > 0)".replace(r"\x0b", "\x0b").replace(r"\x0c", "\x0c")).alias("lines"),
     )
     df = df.select(
-        "doc_id", "stratum", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        name, "stratum", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("transform(words, w -> xxhash64(w))").alias("h"),
     )
@@ -61,7 +65,10 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", stratum:
     df = df.withColumn("s", F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN array_sort(transform(windows, (v, p) -> struct(v, p))) END"))
     df = df.withColumn("places", F.expr(f"CASE WHEN s IS NOT NULL THEN array_sort({twice}) END"))
     covered = f"CASE WHEN places IS NULL THEN 0L ELSE aggregate(transform(places, (p, j) -> least({SPAN}, coalesce(get(places, j + 1), p + {SPAN}) - p)), 0L, (a, x) -> a + x) END"
-    return df.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
+    # A value that the optimiser takes for one that may change keeps filters on the measures above them: pushed down, a
+    # filter would repeat the whole chain of expressions many times over.
+    fixed = F.when(F.monotonically_increasing_id() < 0, F.lit(None)).otherwise(F.expr(covered))
+    return df.select(name, "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", fixed.alias("n_repeat_words"))
 
 
 def rule_values() -> dict[str, Column]:
@@ -119,20 +126,31 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     `labels` has doc_id and quality (1: to be kept). The measures are written once to the shared folder; texts are read once.
     """
     found = common.written(measures(docs, text, key, stratum), "measures")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return _judged(found, _cut(found, labels, alpha, delta)).drop("stratum")
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def _cut(found: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """(stratum, cut): the cutoffs of each stratum by rule. The rules add to the base rule, so their holdouts are the good texts that it keeps."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    # The rules add to the base rule, so their holdouts are the good texts that it keeps.
-    taken = cutoffs(found.filter(~failed).join(good, "doc_id", "left_semi"), alpha, delta)
-    # At most (strata x rules) rows, one a stratum: strata are few by what they are, and Spark broadcasts only if they are small.
-    cut = taken.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
+    taken = cutoffs(found.filter(~_failed()).join(good, "doc_id", "left_semi"), alpha, delta)
+    return common.written(taken.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut")), "cutoffs")
+
+
+def _judged(found: DataFrame, cut: DataFrame) -> DataFrame:
+    # A row for each stratum: few by what strata are, but broadcast only after a look.
+    cut = F.broadcast(cut) if cut.count() <= STRATA else cut
     values = rule_values()
     broken = F.array(*(F.when(values[name] > F.element_at("cut", name), F.lit(name)) for name in sorted(RULES)))
-    out = found.join(cut, "stratum", "left").withColumn("base_failed", failed)
+    out = found.join(cut, "stratum", "left").withColumn("base_failed", _failed())
     out = out.withColumn("rejected_by", F.when(F.col("cut").isNull(), F.lit("")).otherwise(F.concat_ws(",", broken)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")).drop("cut", "stratum")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")).drop("cut")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns; rows that share a key stay only if each of them is kept."""
-    out = judge(docs, labels, text=text, key=key, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(out, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__drop")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, text: str = "text", key: str = "doc_id", stratum: str | None = "lang") -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns. Texts are measured twice, which costs less than to shuffle them."""
+    cut = _cut(common.written(measures(docs, text, key, stratum), "measures"), labels, alpha, delta)
+    return _judged(measures(docs, text, key, stratum, whole=True), cut).filter("kept").select("row.*")

@@ -79,6 +79,8 @@ def repeated(docs: DataFrame, least: int = LEAST, text: str = "text", key: str =
     found = common.written(unit_table(docs, least, text, key), "units")
     # Within a document each digest is counted once, so what several documents share shows in least and greatest.
     shared = found.filter(~F.col("again")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("h1", "h2", "first")
+    # Written, so that the join deals both sides itself and can split a digest that very many runs have.
+    shared = common.written(shared, "shared")
     return found.join(shared, ["h1", "h2"], "left").filter("again OR first < doc_id").select("doc_id", "start", "end", "n_words", F.coalesce("first", "doc_id").alias("first_doc_id"))
 
 
