@@ -25,9 +25,9 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrences(_mentions(spark, d))
 
 
-def _starts(edges: DataFrame, n: int) -> DataFrame:
-    """The first names in order, as starts of traversals."""
-    return graph.both_ways(edges).select(F.col("a").alias("start")).distinct().orderBy("start").limit(n)
+def _starts(edges: DataFrame) -> DataFrame:
+    """All names, as starts of traversals."""
+    return graph.both_ways(edges).select(F.col("a").alias("start")).distinct()
 
 
 @query(f"WITH {MENTIONS} SELECT * FROM mentions")
@@ -96,7 +96,7 @@ def query_entity(spark: SparkSession, d: str) -> DataFrame:
     return graph.query_entity(e, graph.both_ways(e).select(F.col("a").alias("entity")).distinct())
 
 
-TRAVERSED = """starts AS (SELECT DISTINCT a AS start FROM around ORDER BY 1 LIMIT 3), l1 AS (SELECT start, b AS entity FROM starts JOIN around ON start = a WHERE b <> start),
+TRAVERSED = """starts AS (SELECT DISTINCT a AS start FROM around), l1 AS (SELECT start, b AS entity FROM starts JOIN around ON start = a WHERE b <> start),
     l2 AS (SELECT DISTINCT l1.start, b AS entity FROM l1 JOIN around ON l1.entity = a), d AS (SELECT start, entity, min(depth) AS depth FROM (SELECT start, start AS entity, 0 AS depth FROM starts UNION ALL SELECT start, entity, 1 FROM l1 UNION ALL SELECT start, entity, 2 FROM l2) GROUP BY 1, 2),
     t AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, entity) AS r FROM d)"""
 
@@ -104,13 +104,13 @@ TRAVERSED = """starts AS (SELECT DISTINCT a AS start FROM around ORDER BY 1 LIMI
 @query(f"WITH {EDGES}, {TRAVERSED} SELECT start, entity, depth::INTEGER AS depth FROM t WHERE r <= 20")
 def bfs_two_hop(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
-    return graph.traverse(e, _starts(e, 3))
+    return graph.traverse(e, _starts(e))
 
 
 @query(f"WITH {EDGES}, {TRAVERSED} SELECT entity, count(DISTINCT start)::BIGINT AS n FROM t WHERE r <= 10 GROUP BY 1 HAVING count(DISTINCT start) > 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def hub_entities(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
-    return graph.hubs(graph.traverse(e, _starts(e, 3), most=10))
+    return graph.hubs(graph.traverse(e, _starts(e), most=10))
 
 
 @query(
@@ -156,14 +156,13 @@ def pagerank_20(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EDGES}, {NODES}, q AS (SELECT item_id AS query_id, unnest(t) AS entity, generate_subscripts(t, 1) AS ordinal FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) AS t FROM benchmark)),
-    asked AS (SELECT doc_id AS query_id, entity, start AS ordinal FROM mentions WHERE doc_id % 10 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal, entity) AS r FROM asked),
+    f"""WITH {EDGES}, {NODES}, asked AS (SELECT doc_id AS query_id, entity, start AS ordinal FROM mentions), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal, entity) AS r FROM asked),
     rel AS (SELECT a AS entity, array_to_string(list_sort(list(b))[1:5], ', ') AS rel FROM around GROUP BY 1)
     SELECT query_id, string_agg('- ' || entity || ' (' || n.type || ') is related to: ' || rel, chr(10) ORDER BY r) AS context FROM f JOIN nodes n USING (entity) JOIN rel USING (entity) WHERE r <= 5 GROUP BY 1""".replace("\\\\p", "\\p")
 )
 def graph_context(spark: SparkSession, d: str) -> DataFrame:
     m = _mentions(spark, d)
-    asked = m.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), F.struct("start", "entity").alias("ordinal"), "entity")
+    asked = m.select(F.col("doc_id").alias("query_id"), F.struct("start", "entity").alias("ordinal"), "entity")
     return graph.context_lines(graph.cooccurrences(m), graph.nodes(m), asked)
 
 

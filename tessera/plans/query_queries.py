@@ -11,13 +11,13 @@ from tessera.plans.registry import TOKENS, query, table
 
 #: Openings that make questions of the corpus' own texts.
 OPENINGS = ["what is ", "How does it affect the relationship between ", "Compare versus ", "why is ", "how to install ", "summarize ", "Tell me about And ", ""]
-QUESTIONS = "questions AS (SELECT doc_id AS query_id, (" + repr(OPENINGS) + ")[(doc_id % 8 + 1)::INT] || substring(text, 1, 60) || CASE WHEN doc_id % 5 = 0 THEN ' and Who is there? or then what' ELSE '?' END AS text FROM documents)"
+QUESTIONS = "questions AS (SELECT doc_id AS query_id, (" + repr(OPENINGS) + ")[(doc_id % 8 + 1)::INT] || text || CASE WHEN doc_id % 5 = 0 THEN ' and Who is there? or then what' ELSE '?' END AS text FROM documents)"
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("doc_id") % 8 + 1).cast("int"))
     end = F.when(F.col("doc_id") % 5 == 0, " and Who is there? or then what").otherwise("?")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(opening, F.substring("text", 1, 60), end).alias("text"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(opening, F.col("text"), end).alias("text"))
 
 
 def _sql_text(s: str) -> str:
@@ -309,12 +309,12 @@ def structured_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT doc_id // 10 AS query_id, (doc_id % 10 + 1)::BIGINT AS rank, source, doc_id % 4 AS page, lang AS category, substring(text, 1, 200) AS text FROM documents),
+    """WITH r AS (SELECT doc_id // 10 AS query_id, (doc_id % 10 + 1)::BIGINT AS rank, source, doc_id % 4 AS page, lang AS category, text FROM documents),
     c AS (SELECT query_id, string_agg('[' || rank || '] Source: ' || source || ', Page ' || page || ' (' || category || ')' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM r GROUP BY 1),
     t AS (SELECT query_id, string_agg('[' || rank || '] ' || source || CASE WHEN page > 0 THEN ', Page ' || page ELSE '' END, chr(10) ORDER BY rank) AS citations FROM r WHERE rank <= 5 GROUP BY 1)
     SELECT query_id, md5(context) AS context_md5, citations, md5(substring(context, 1, 2000)) AS answer_md5 FROM c JOIN t USING (query_id)"""
 )
 def answer_assembly(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).cast("long").alias("query_id"), (F.col("doc_id") % 10 + 1).alias("rank"), "source", (F.col("doc_id") % 4).alias("page"), F.col("lang").alias("category"), F.substring("text", 1, 200).alias("text"))
+    r = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).cast("long").alias("query_id"), (F.col("doc_id") % 10 + 1).alias("rank"), "source", (F.col("doc_id") % 4).alias("page"), F.col("lang").alias("category"), "text")
     c = answers.context_blocks(r)
     return c.join(answers.citations(r), "query_id").join(answers.extractive(c), "query_id").select("query_id", F.md5("context").alias("context_md5"), "citations", F.md5("answer").alias("answer_md5"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import chunking, sentences, store, tagging
-from tessera.plans.registry import LEXICON, SENTENCES, TOKENS, query, table
+from tessera.plans.registry import LEXICON, ORACLES, SENTENCES, TOKENS, query, table
 
 
 @query(
@@ -170,11 +170,12 @@ def chunk_intent(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT intent, count(*)::BIGINT AS n, round_even(avg(n), 2)::DOUBLE AS mean_chars, round_even(avg(noise), 4)::DOUBLE AS mean_noise FROM
-    (SELECT CASE WHEN doc_id % 3 = 0 THEN 'Technical' ELSE 'Conceptual' END AS intent, length(text) AS n, (doc_id % 10) / 10.0::DOUBLE AS noise FROM documents) GROUP BY 1"""
+    f"""WITH i AS ({ORACLES["chunk_intent"]}), c AS ({ORACLES["clean_noise_ratio"]}) SELECT intent, count(*)::BIGINT AS n, round_even(avg(length(text)), 2)::DOUBLE AS mean_chars, round_even(avg(noise_ratio), 4)::DOUBLE AS mean_noise
+    FROM documents JOIN i USING (doc_id) JOIN c USING (doc_id) GROUP BY 1"""
 )
 def semantic_chunk_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, "Technical").otherwise("Conceptual").alias("intent"), F.length("text").alias("n_chars"), ((F.col("doc_id") % 10) / 10.0).alias("noise"))
+    raw, reduced = text.text_of("text"), text.without_noise("text")
+    rows = table(spark, d, "documents").select(tagging.intent(F.col("text")).alias("intent"), F.length("text").alias("n_chars"), F.round(text.noise_ratio(raw, reduced), 9).alias("noise"))
     return store.semantic_summary(rows)
 
 
