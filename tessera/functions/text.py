@@ -141,3 +141,10 @@ def html_text(c: Column | str) -> Column:
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return squeezed(out)
+
+
+def global_header(filename: Column, subtopics: list[Column], fallback: Column) -> Column:
+    """Document: title; Topic: the first two sub-topics that are not null, or the fallback."""
+    found = F.slice(F.array_compact(F.array(*subtopics)), 1, 2)
+    topic = F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise(fallback)
+    return F.concat(F.lit("Document: "), document_title(filename, 40), F.lit("; Topic: "), topic)

@@ -151,3 +151,10 @@ def context_lines(edges: DataFrame, node_table: DataFrame, asked: DataFrame, nam
     line = F.concat(F.lit("- "), F.col("entity"), F.lit(" ("), F.col("type"), F.lit(") is related to: "), F.col("rel"))
     rows = first.join(node_table.select("entity", "type"), "entity").join(around, "entity").select("query_id", "r", line.alias("line"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("context"))
+
+
+def multi_hop(edges: DataFrame, names: DataFrame, depth: int = 2, reach: int = 10, longest: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Between the named entities (entity): (a, b, length, between) of all pairs' shortest paths, and the hubs that traversals from several of them meet."""
+    pairs = names.select(F.col("entity").alias("a")).join(names.select(F.col("entity").alias("b")), F.col("a") < F.col("b"))  # of a question's few names
+    paths = shortest_paths(edges, pairs, longest).select("a", "b", "length", F.when(F.size("path") > 2, F.slice("path", F.lit(2), F.size("path") - 2)).alias("between"))
+    return paths, hubs(traverse(edges, names.select(F.col("entity").alias("start")), depth, reach))

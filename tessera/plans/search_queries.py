@@ -49,6 +49,13 @@ def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return lexical.index(table(spark, d, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"WITH {OKAPI} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms")
+def bm25_index_update(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    half = lexical.index(docs.filter("doc_id % 2 = 0"))
+    return lexical.extended(half, docs.filter("doc_id % 2 <> 0")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query(f"WITH {_bm25(OKAPI, 1.5, 10)} SELECT query_id, doc_id, score, rank FROM lexical")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d)

@@ -133,6 +133,17 @@ def contextual_header(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT doc_id, 'Document: ' || replace(replace(source || '_' || lang, '_', ' '), '-', ' ') || '; Topic: ' || CASE WHEN len(t) > 0 THEN array_to_string(t[1:2], '; ') WHEN contains(lower(text), 'que') THEN 'que management' ELSE 'general practices' END AS header
+    FROM (SELECT *, list_filter([CASE WHEN contains(lower(text), 'the') THEN 'the Basin' END, CASE WHEN contains(lower(text), 'und') THEN 'und systems' END, CASE WHEN contains(lower(text), 'der') THEN 'der cultivation' END], lambda x: x IS NOT NULL) AS t FROM documents)"""
+)
+def global_header(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("text")
+    told = [F.when(low.contains(w), F.lit(f"{w} {kind}")) for w, kind in (("the", "Basin"), ("und", "systems"), ("der", "cultivation"))]
+    fallback = F.when(low.contains("que"), "que management").otherwise("general practices")
+    return table(spark, d, "documents").select("doc_id", text.global_header(F.concat_ws("_", "source", "lang"), told, fallback).alias("header"))
+
+
 @query(r"""SELECT page_id, CASE WHEN string_split(url, '/')[-2] = 'documents' THEN 'uncategorized' ELSE string_split(url, '/')[-2] END AS category FROM pages""")
 def category_from_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.category_of(F.col("url")).alias("category"))

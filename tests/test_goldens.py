@@ -254,3 +254,40 @@ def test_pages_from_files(spark, tmp_path):
     pages = files.pages(files.files(spark, str(tmp_path)), extract)
     assert sorted(rows(pages, "page", "category", "text", "has_table")) == [(1, "maps", "one\n[TABLE DATA]\nx | ", True), (2, "maps", "two", False)]
     assert files.full_text(pages).first()["text"] == "one\n[TABLE DATA]\nx | \n\ntwo"
+
+
+def test_multi_hop(spark):
+    e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d")])
+    paths, hubs = graph.multi_hop(e, spark.createDataFrame([("a",), ("d",)], "entity string"))
+    assert rows(paths, "a", "b", "length", "between") == [("a", "d", 3, ["b", "c"])]
+    assert sorted(rows(hubs, "entity", "n")) == [("b", 2), ("c", 2)]
+
+
+def test_report_and_markdown(spark):
+    import json
+
+    scores = {"faithfulness": F.lit(0.12345), "answer_relevancy": F.lit(None).cast("double"), "context_relevancy": F.lit(0.9), "domain_accuracy": F.lit(0.9), "safety": F.lit(0.9)}
+    told = json.loads(value(spark, evaluation.report(F.lit("q" * 200), scores, evaluation.overall(scores))))
+    assert (len(told["query"]), told["scores"]["faithfulness"], told["recommendations"]) == (100, 0.123, ["grounding"]) and "answer_relevancy" not in told["scores"]
+    findings = F.array(F.struct(F.lit("x").alias("text"), F.lit("[Source: s]").alias("citation")), F.struct(F.lit("y").alias("text"), F.lit("").alias("citation")))
+    text_ = value(spark, answers.markdown(F.lit("sum"), findings, F.lit("[1] s"), F.lit(0.5)))
+    assert "1. x [Source: s]\n2. y\n" in text_ and text_.endswith("Confidence: 0.50")
+
+
+def test_judges_take_any_model(spark):
+    class Says:
+        def column(self, c):
+            return F.concat(F.lit("Score: "), c)
+
+    df = spark.createDataFrame([("8",), ("none",)], "p string")
+    assert sorted(rows(evaluation.judged(df, Says(), {"safety": F.col("p")}), "safety")) == [(0.5,), (0.8,)]
+
+
+def test_metadata_is_flat(spark):
+    m = value(spark, store.metadata({"a": F.lit(1), "b": F.to_json(F.array(F.lit("x"))), "c": F.lit(None).cast("string")}))
+    assert m == {"a": "1", "b": '["x"]'}
+
+
+def test_prompt_leaves_out_what_is_empty(spark):
+    p = value(spark, answers.prompt("Be brief.", F.lit(""), F.lit("ctx"), F.lit(None).cast("string"), F.lit("why")))
+    assert p == "Be brief.\n\nContext:\nctx\n\nQuestion:\nwhy"
