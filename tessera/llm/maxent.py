@@ -1,18 +1,25 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | before) = P(class | before) * P(word | class). The first factor is a log-linear model over hashed features of
-the classes before: bias, one before, two before (n-grams), and the second and third before alone (skips). It is
-trained by distributed gradient steps on counts of (three classes before, class) that all training texts give; their
-number is bounded by the number of classes, not by the corpus. Scoring takes the distinct contexts of a batch, gathers
-the few weights that are set for them, and normalises.
+P(word | before) = P(class | before) * P(word | class, before). Both factors see the words before, themselves: hashed
+features of one and two words before (n-grams) and of the second and the third before alone (skips).
+
+The first factor starts from a log-linear model over hashed features of the classes before: bias, one before, two before,
+and the second and third before alone. It is trained by distributed gradient steps on counts of (three classes before,
+class) that all training texts give; their number is bounded by the number of classes. The second starts from the word's
+share of its class. From there on both are softmaxes over binary trees, one over the classes and one over the words of
+each class, which the counts halve. The log-odds of each fork are what the start gives, plus the weights of the features
+at that fork, hashed into one table of SLOTS. Forks with weights of 0 give the start; each one is normalised, so all are.
+Each of PASSES goes over all words of the training texts: tasks sum, for each weight, what was seen less what was
+expected and its variance, in integers, so that the order of sums does not matter; the driver takes a damped Newton step.
 
 Classes: the `hot` most frequent words (seen twice or more) fall, by the group (language) they mostly stand in, into
 tiers of about equal weight; all other words into one class for each group, told by the word's end, so that the class
-of any word, seen or not, is known without a look at the counts of all words. P(word | class) is the word's share of its
-class; in the classes of other words one part is kept for unseen ones, as large as the number of words seen once.
+of any word, seen or not, is known without a look at the counts of all words. The trees of the classes of other words
+have buckets of word ends as leaves; a word has its share of its bucket, where one part is kept for unseen words, as
+large as the number of words seen once. Before a word, other words stand with a hash of their own.
 
-What is broadcast (hot words, weights) is bounded by parameters. Counts of all other words grow with the corpus and are
-joined, not broadcast.
+What is broadcast (hot words, trees, weights) is bounded by parameters. Counts of all other words grow with the corpus
+and are joined, not broadcast.
 
 Inputs: null and empty texts are the end token alone; repeated rows are learnt from and scored each; an empty table
 gives an empty one; a missing group column is one group; only the named columns are read, so further columns never
@@ -35,6 +42,10 @@ from tessera.llm import common
 
 #: Words known on every worker, groups, tiers of hot words in a group, buckets of word ends, hashed features, gradient steps, their length.
 HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 24, 0.4
+#: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
+SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 15
+#: Slots that are summed together, and the parts of one that gradients are rounded to.
+BLOCK, PARTS = 1 << 16, 1 << 8
 #: The end of a text; no word holds white space.
 END = b"\n"
 #: Words that a worker counts before it passes their counts on.
@@ -80,6 +91,48 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return found.withColumn("end", (F.crc32(F.substring("word", -3, 3)) % ENDS).cast("int"))
 
 
+@dataclass
+class Tree:
+    """Binary trees over consecutive leaves: the forks on the way to each leaf."""
+
+    starts: np.ndarray  # of each leaf, in the next two; one more at the end
+    forks: np.ndarray
+    right: np.ndarray  # whether the way goes to the second part
+    bounds: np.ndarray  # of each fork: first leaf, first leaf of the second part, end
+    keys: np.ndarray  # of each fork, for hashing
+
+
+def tree_over(groups: list[np.ndarray], weight: np.ndarray, first: int = 0) -> Tree:
+    """A tree over each group of leaves, in its order, halved by weight. Forks are numbered from 0 and hashed as from `first`."""
+    order = np.concatenate([np.empty(0, np.int64), *groups]).astype(np.int64)
+    summed = np.concatenate([[0.0], np.cumsum(weight[order] + 1e-9)])
+    ends = np.cumsum([len(g) for g in groups], dtype=np.int64)
+    low, high = ends - np.array([len(g) for g in groups], dtype=np.int64), ends
+    steps, bounds, n = [], [], 0
+    while (split := high - low > 1).any():
+        low, high = low[split], high[split]
+        middle = np.clip(np.searchsorted(summed, (summed[low] + summed[high]) / 2), low + 1, high - 1)
+        size = high - low
+        fork = np.repeat(np.arange(len(low)), size)
+        at = np.arange(len(fork)) - np.repeat(np.cumsum(size) - size, size) + low[fork]
+        steps.append((order[at], fork + n, at >= middle[fork]))
+        bounds.append(np.stack([low, middle, high], axis=1))
+        n += len(low)
+        low, high = np.concatenate([low, middle]), np.concatenate([middle, high])
+    leaf, fork, right = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+    by = np.argsort(leaf, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(weight)))]).astype(np.int64)
+    bounds = np.concatenate(bounds) if bounds else np.empty((0, 3), np.int64)
+    return Tree(starts, fork[by].astype(np.int32), right[by], bounds, mixed(np.arange(first, first + n, dtype=np.uint64)))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit numbers."""
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+
+
 @dataclass
 class Vocabulary:
     """What every worker knows of the words."""
@@ -93,6 +146,19 @@ class Vocabulary:
     classes: int
     class_weight: np.ndarray  # log10 of the denominator of P(word | class)
     unseen: np.ndarray  # for each group's class of other words, log10 of what an unseen one has
+    end_weight: np.ndarray  # what all other words with an end have, the unseen one among them
+    end_unseen: np.ndarray  # what the unseen one has
+    class_tree: Tree
+    word_tree: Tree  # leaves: the hot words, then the ends; no fork joins classes
+
+    def places(self) -> dict[bytes, int]:
+        """word -> place among the hot ones; for others -1 - (a hash of the word * ENDS + its end)."""
+
+        class Places(dict):
+            def __missing__(self, word: bytes) -> int:
+                return -1 - (zlib.crc32(word) * ENDS + zlib.crc32(word[-3:]) % ENDS)
+
+        return Places(self.hot)
 
     def lookup(self) -> dict[bytes, int]:
         """word -> place among the hot ones; -1 - group for others."""
@@ -149,16 +215,23 @@ def vocabulary(counts: DataFrame, hot: int = HOT, groups: int = GROUPS, tiers: i
         part = once[ends == g].sum() + 1
         unseen[g] = np.log10(part)
         denominators[g * (tiers + 1) + tiers] = max(0.0, total[ends == g].sum()) + part
-    return Vocabulary(int(tokens), int(types), known, of, n, ends, classes, np.log10(np.maximum(denominators, 1.0)), unseen)
+    end_unseen = once + 1 / np.bincount(ends, minlength=n_groups)[ends]
+    end_weight = np.maximum(0.0, total) + end_unseen
+    leaves = [np.flatnonzero(of == c) for c in range(classes)]
+    for g in range(n_groups):
+        leaves[g * (tiers + 1) + tiers] = len(words) + np.flatnonzero(ends == g)
+    class_tree = tree_over([np.arange(classes)], np.bincount(of, weights=n, minlength=classes) + np.bincount(ends * (tiers + 1) + tiers, weights=end_weight, minlength=classes))
+    word_tree = tree_over(leaves, np.concatenate([n, end_weight]), classes)
+    return Vocabulary(int(tokens), int(types), known, of, n, ends, classes, np.log10(np.maximum(denominators, 1.0)), unseen, end_weight, end_unseen, class_tree, word_tree)
 
 
 def class_runs(texts: list[bytes | None], lookup: dict[bytes, int], v: Vocabulary) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; over all of them: its length, places of words (as lookup gives), classes, contexts (three classes before, packed)."""
+    """Words of each text; over all of them: its length, places of words (as places() gives), classes, contexts (three classes before, packed)."""
     split = [words_of(t) for t in texts]
     n = np.array([len(w) for w in split], dtype=np.int64)
     found = np.fromiter((p for words in split for p in map(lookup.__getitem__, words)), np.int64, n.sum())
     tiers = (v.classes - 1) // len(v.unseen)
-    of = np.where(found >= 0, v.hot_class[np.maximum(found, 0)], (-1 - found) * tiers + tiers - 1)
+    of = np.where(found >= 0, v.hot_class[np.maximum(found, 0)], v.ends[(-1 - found) % ENDS] * tiers + tiers - 1)
     base, pad = v.classes + 1, v.classes
     place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     context = np.zeros(len(of), dtype=np.int64)
@@ -191,7 +264,7 @@ def event_counts(rows: DataFrame, shared, classes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        lookup = v.lookup()
+        lookup = v.places()
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -246,7 +319,121 @@ def train(events: DataFrame, classes: int, hashed: int = HASHED, steps: int = ST
     return weights
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str | None = "lang", hot: int = HOT, steps: int = STEPS) -> DataFrame:
+class Forks:
+    """The forks of words in their contexts, and the weights of the features there."""
+
+    def __init__(self, v: Vocabulary, model: np.ndarray, slots: np.ndarray):
+        self.v, self.model, self.slots = v, model, slots
+        self.shift = np.uint64(64 - (len(slots).bit_length() - 1))
+        # Where a hot word's way through the trees starts: its class's way, then its own.
+        place = np.concatenate([[0.0], np.cumsum(np.concatenate([v.hot_count, v.end_weight])[self.order()] + 1e-9)])
+        a, m, b = v.word_tree.bounds.T
+        self.start = np.log(place[b] - place[m]) - np.log(place[m] - place[a])
+
+    def order(self) -> np.ndarray:
+        tiers, hot = (self.v.classes - 1) // len(self.v.unseen), len(self.v.hot_class)
+        leaf_class = np.concatenate([self.v.hot_class, self.v.ends * tiers + tiers - 1])
+        assert len(leaf_class) == hot + ENDS
+        return np.argsort(leaf_class, kind="stable")
+
+    def class_start(self, contexts: np.ndarray) -> np.ndarray:
+        """ln odds of the second part at each fork of the classes: [context, fork]."""
+        summed = np.concatenate([np.zeros((len(contexts), 1)), np.cumsum(np.exp(log_shares(contexts, self.model)), axis=1)], axis=1)
+        a, m, b = self.v.class_tree.bounds.T
+        return (np.log(np.maximum(summed[:, b] - summed[:, m], 1e-12)) - np.log(np.maximum(summed[:, m] - summed[:, a], 1e-12))).astype(np.float32)
+
+    def parts(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For consecutive parts of the words: from, to; of each fork on their ways: the word, the way, ln odds; its slots, an array for each feature."""
+        v, hot = self.v, len(self.v.hot_class)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        leaf = np.where(found >= 0, found, hot + (-1 - found) % ENDS)
+        word = mixed(found.astype(np.uint64))
+        back = []
+        for k in (1, 2, 3):
+            shifted = np.zeros(len(word), dtype=np.uint64)
+            shifted[k:] = word[:-k] if k < len(word) else word[:0]
+            back.append(np.where(place >= k, shifted, np.uint64(k)))
+        with np.errstate(over="ignore"):
+            told = [mixed(back[0]), mixed(back[0] * np.uint64(3) + mixed(back[1])), mixed(back[1] + np.uint64(5)), mixed(back[2] + np.uint64(7))]
+        distinct, at = np.unique(context, return_inverse=True)
+        starts = self.class_start(distinct)
+        for a in range(0, len(of), HELD):
+            b = min(len(of), a + HELD)
+            owner, ways, odds, keys = [], [], [], []
+            for tree, leaves in ((v.class_tree, of[a:b]), (v.word_tree, leaf[a:b])):
+                size = tree.starts[leaves + 1] - tree.starts[leaves]
+                own = np.repeat(np.arange(b - a), size)
+                way = np.arange(len(own)) + np.repeat(tree.starts[leaves] - (np.cumsum(size) - size), size)
+                fork = tree.forks[way]
+                owner.append(own)
+                ways.append(tree.right[way])
+                keys.append(tree.keys[fork])
+                odds.append(starts[at[a:b][own], fork] if tree is v.class_tree else self.start[fork])
+            own, key = np.concatenate(owner), np.concatenate(keys)
+            x = np.concatenate(odds).astype(np.float32)
+            slots = []
+            for h in told:
+                slot = ((h[a:b][own] + key) >> self.shift).view(np.int64)
+                x += self.slots[slot]
+                slots.append(slot)
+            yield a, b, own, np.concatenate(ways), x, slots
+
+    def logs(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """ln of the share of each word, or for other words of their end."""
+        out = np.zeros(len(of))
+        for a, b, own, way, x, _ in self.parts(n, found, of, context):
+            out[a:b] = -np.bincount(own, weights=np.logaddexp(np.float32(0), np.where(way, -x, x)), minlength=b - a)
+        return out
+
+
+def fit(rows: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.ndarray:
+    """The weights of the words' features at forks, from all words of the training texts."""
+    spark = rows.sparkSession
+    slots = np.zeros(size, dtype=np.float32)
+    for _ in range(passes):
+        given = spark.sparkContext.broadcast(slots)
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            v, forks = shared.value, Forks(shared.value, model.value, given.value)
+            lookup = v.places()
+            ahead, spread = np.zeros(size), np.zeros(size)
+            for batch in batches:
+                for part in common.slices(batch, "text"):
+                    _, n, found, of, context = class_runs(part.column(0).to_pylist(), lookup, v)
+                    for _, _, _, way, x, at in forks.parts(n, found, of, context):
+                        p = 1 / (1 + np.exp(-x.astype(float)))
+                        miss, var = way - p, p * (1 - p)
+                        for slot in at:
+                            np.add.at(ahead, slot, miss)
+                            np.add.at(spread, slot, var)
+            for block in range(-(-size // BLOCK)):
+                g, h = (np.rint(x[block * BLOCK : (block + 1) * BLOCK] * PARTS).astype(np.int64) for x in (ahead, spread))
+                told = np.flatnonzero((g != 0) | (h != 0))
+                if len(told):
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (told.astype(np.uint16), g[told], h[told]))], names=["block", "at", "g", "h"])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, at, g, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = sums.setdefault(block, np.zeros((2, BLOCK), np.int64))
+                    places = np.frombuffer(at, np.uint16)
+                    own[0, places] += np.frombuffer(g, np.int64)
+                    own[1, places] += np.frombuffer(h, np.int64)
+            for block, (g, h) in sums.items():
+                step = STRIDE * g / (h + DAMP * PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([step.astype(np.float32).tobytes()], pa.binary())], names=["block", "step"])
+
+        found = rows.mapInArrow(run, "block int, at binary, g binary, h binary").repartition("block").mapInArrow(summed, "block int, step binary")
+        slots = slots.copy()
+        for r in found.toLocalIterator():
+            own = slots[r["block"] * BLOCK : (r["block"] + 1) * BLOCK]
+            own += np.frombuffer(bytes(r["step"]), dtype=np.float32)[: len(own)]
+        given.destroy()
+    return slots
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str | None = "lang", hot: int = HOT, steps: int = STEPS, size: int = SLOTS, passes: int = PASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learnt from the rows not held out."""
     spark = docs.sparkSession
     grp = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("")) if group and group in docs.columns else F.lit("")
@@ -257,25 +444,26 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str |
     shared = spark.sparkContext.broadcast(v)
     events = common.written(event_counts(learnt.select("text"), shared, v.classes), "events")
     model = spark.sparkContext.broadcast(train(events, v.classes, steps=steps))
+    slots = spark.sparkContext.broadcast(fit(learnt.select("text"), shared, model, size, passes))
     ten = 1 / np.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights = shared.value, model.value
-        lookup = v.lookup()
-        base_of, share_of = np.log10(v.hot_count + 1.0), np.log10(np.maximum(v.hot_count, 1).astype(float))
+        v, forks = shared.value, Forks(shared.value, model.value, slots.value)
+        lookup = v.places()
+        base_of, ends_of = np.log10(v.hot_count + 1.0), np.log10(v.end_weight)
+        unseen = np.log10(v.end_unseen).tolist()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 split, n, found, of, context = class_runs(part.column(1).to_pylist(), lookup, v)
-                distinct, at = np.unique(context, return_inverse=True)
-                logs = log_shares(distinct, weights)[at, of] * ten - v.class_weight[of]
+                logs = forks.logs(n, found, of, context) * ten
                 is_hot = found >= 0
-                logs += np.where(is_hot, share_of[np.maximum(found, 0)], 0.0)
+                logs -= np.where(is_hot, 0.0, ends_of[(-1 - found) % ENDS])
                 if nothing := v.tokens == 0:
                     is_hot = np.zeros_like(is_hot)
                 base = np.where(is_hot, base_of[np.maximum(found, 0)], 0.0)
                 owner = np.repeat(np.arange(len(n)), n)
                 sums = lambda x: np.bincount(owner, weights=x, minlength=len(n))  # noqa: B023, E731
-                others, times, groups, starts = [], [], [], [0]
+                others, times, parts, starts = [], [], [], [0]
                 ends = np.cumsum(n)
                 for words, last in zip(split, ends, strict=True):
                     if not nothing:
@@ -283,23 +471,22 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str |
                         rest = Counter(words[i] for i in np.flatnonzero(ids < 0))
                         others += rest
                         times += rest.values()
-                        groups += [-1 - lookup[w] for w in rest]
+                        parts += [unseen[word_end(w)] for w in rest]
                     starts.append(len(others))
                 offsets = pa.array(starts, pa.int32())
-                rare = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times, pa.int32()), pa.array(groups, pa.int32())], names=["word", "times", "g"])
+                rare = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times, pa.int32()), pa.array(parts, pa.float64())], names=["word", "times", "part"])
                 columns = [part.column(0), part.column(2), pa.array(n), pa.array(sums(is_hot).astype(np.int64)), pa.array(sums(base)), pa.array(sums(logs)), pa.ListArray.from_arrays(offsets, rare)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n", "known", "base", "model", "rare"])
 
-    schema = "doc_id long, held_out boolean, n long, known long, base double, model double, rare array<struct<word:binary,times:int,g:int>>"
+    schema = "doc_id long, held_out boolean, n long, known long, base double, model double, rare array<struct<word:binary,times:int,part:double>>"
     # Rows, not documents, are numbered: keys may repeat.
     scored = common.written(own.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    unseen = F.array(*(F.lit(float(x)) for x in v.unseen))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.g")
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.part")
     joined = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     extra = joined.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("k"),
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("b"),
-        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c").cast("double")), F.get(unseen, F.col("g")))).alias("m"),
+        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c").cast("double")), F.col("part"))).alias("m"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return scored.drop("rare").join(extra, "row", "left").select(

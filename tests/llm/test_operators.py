@@ -128,6 +128,31 @@ def test_language_model_is_a_distribution(spark):
     assert abs(total - sum(shares[c] for c in used)) < 1e-6
 
 
+def test_language_model_sees_the_order_of_words(spark):
+    """Two words of one class that change places leave the classes as they are, and yet the score falls."""
+    words = [f"w{i:02}" for i in range(70)]
+    swapped = [*words[:33], words[35], words[34], words[33], *words[36:]]
+    texts = [(i, " ".join(words), "x", "s", 0) for i in range(200)] + [(1000, " ".join(swapped), "x", "s", 0)]
+    got = {r["doc_id"]: r["score"] for r in maxent.score(spark.createDataFrame(texts, SCHEMA), steps=2).collect()}
+    assert got[1000] < got[0] - 1
+
+
+def test_language_model_trees_are_a_distribution(spark):
+    """With any weights, the shares of all leaves behind one word sum to 1, where no class is empty."""
+    import numpy as np
+
+    rng, np_rng = random.Random(4), np.random.default_rng(4)
+    texts = [(i, " ".join(f"r{min(rng.randrange(300), rng.randrange(300))}" for _ in range(60)), "x", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(texts, SCHEMA)
+    v = maxent.vocabulary(maxent.word_counts(docs.select(F.col("text").cast("binary").alias("text"), F.col("lang").alias("grp"))), hot=60)
+    forks = maxent.Forks(v, np_rng.normal(size=(maxent.HASHED, v.classes)).astype("float32"), np_rng.normal(size=1 << 12).astype("float32"))
+    leaves = np.concatenate([np.arange(len(v.hot_class)), -1 - np.arange(maxent.ENDS)])
+    found = np.stack([np.full_like(leaves, 3), leaves], axis=1).ravel()
+    of = np.where(found >= 0, v.hot_class[np.maximum(found, 0)], v.classes - 2)
+    logs = forks.logs(np.full(len(leaves), 2), found, of, np.full(len(found), 5))
+    assert abs(np.exp(logs[1::2]).sum() - 1) < 1e-4
+
+
 def components_of(sets, least=75):
     parent = {d: d for d in sets}
 
