@@ -45,7 +45,7 @@ HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 2
 #: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
 SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 15
 #: Slots that are summed together, and the parts of one that gradients are rounded to.
-BLOCK, PARTS = 1 << 16, 1 << 8
+BLOCK, PARTS = 1 << 16, 1 << 5
 #: The end of a text; no word holds white space.
 END = b"\n"
 #: Words that a worker counts before it passes their counts on.
@@ -386,6 +386,16 @@ class Forks:
         return out
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Integers, mostly small, as compressed planes of bytes."""
+    return zlib.compress((x << 1 ^ x >> 63).reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return x >> 1 ^ -(x & 1)
+
+
 def fit(rows: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.ndarray:
     """The weights of the words' features at forks, from all words of the training texts."""
     spark = rows.sparkSession
@@ -396,39 +406,36 @@ def fit(rows: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.n
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             v, forks = shared.value, Forks(shared.value, model.value, given.value)
             lookup = v.places()
-            ahead, spread = np.zeros(size), np.zeros(size)
+            sums = np.zeros(size, dtype=complex)  # what was seen less what was expected, and the variance, side by side in memory
             for batch in batches:
                 for part in common.slices(batch, "text"):
                     _, n, found, of, context = class_runs(part.column(0).to_pylist(), lookup, v)
                     for _, _, _, way, x, at in forks.parts(n, found, of, context):
-                        p = 1 / (1 + np.exp(-x.astype(float)))
-                        miss, var = way - p, p * (1 - p)
+                        p = 1 / (1 + np.exp(-x))
+                        both = np.empty(len(p), dtype=complex)
+                        both.real, both.imag = way - p, p * (1 - p)
                         for slot in at:
-                            np.add.at(ahead, slot, miss)
-                            np.add.at(spread, slot, var)
+                            np.add.at(sums, slot, both)
             for block in range(-(-size // BLOCK)):
-                g, h = (np.rint(x[block * BLOCK : (block + 1) * BLOCK] * PARTS).astype(np.int64) for x in (ahead, spread))
-                told = np.flatnonzero((g != 0) | (h != 0))
-                if len(told):
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (told.astype(np.uint16), g[told], h[told]))], names=["block", "at", "g", "h"])
+                own = sums[block * BLOCK : (block + 1) * BLOCK]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(np.rint(np.stack([own.real, own.imag]) * PARTS).astype(np.int64))], pa.binary())], names=["block", "sums"])
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for block, at, g, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = sums.setdefault(block, np.zeros((2, BLOCK), np.int64))
-                    places = np.frombuffer(at, np.uint16)
-                    own[0, places] += np.frombuffer(g, np.int64)
-                    own[1, places] += np.frombuffer(h, np.int64)
+                for block, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = unpacked(told).reshape(2, -1)
+                    sums[block] = sums[block] + own if block in sums else own
             for block, (g, h) in sums.items():
                 step = STRIDE * g / (h + DAMP * PARTS)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([step.astype(np.float32).tobytes()], pa.binary())], names=["block", "step"])
 
-        found = rows.mapInArrow(run, "block int, at binary, g binary, h binary").repartition("block").mapInArrow(summed, "block int, step binary")
+        found = rows.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(summed, "block int, step binary")
         slots = slots.copy()
         for r in found.toLocalIterator():
             own = slots[r["block"] * BLOCK : (r["block"] + 1) * BLOCK]
-            own += np.frombuffer(bytes(r["step"]), dtype=np.float32)[: len(own)]
+            own += np.frombuffer(bytes(r["step"]), dtype=np.float32)
         given.destroy()
     return slots
 
