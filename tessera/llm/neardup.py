@@ -9,9 +9,10 @@ size plus t log t in place of their product.
 Equal sets are one class, known by its smallest document, before anything is compared. Coordinates are grouped into
 bands; in a bucket of classes that agree on a band, each is compared with the smallest one only, so a group of any size
 gives as many pairs as it has members. Links are confirmed on the full sets and joined to components. Where a bucket
-still holds members of different components that were not compared, its documents are compared by an exact
-prefix-filtered join (rarest shingles first, length bound), between components only. No pair is left out but those that
-share no band: with 36 bands of 4, one in a million at the least similarity.
+still holds members of different components that were not compared, they are banded again with 130 bands of 8, and pairs
+whose sketch bits differ by more than 4.75 standard deviations over what the least similarity gives are cut before the
+full sets are compared. So links can be lost at three steps (36 bands of 4, 130 bands of 8, the cut), each about one in a
+million at the least similarity; there is no exact join.
 
 Inputs: null, empty or blank texts have empty sets and are linked with nothing; a text of fewer words is one shingle;
 rows with equal keys are one document, linked as any of them is; rows with a null key are linked with nothing and kept;
