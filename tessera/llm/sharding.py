@@ -118,9 +118,12 @@ def assign(docs: DataFrame, shards: int | None = 16, capacity: int | None = None
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     spark = docs.sparkSession
-    base = common.written(sized(docs, text, key).withColumn("bucket", F.pmod(F.col("digest"), F.lit(buckets)).cast("int")), "sized")
+    base = common.written(sized(docs, text, key), "sized")
     total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     room = capacity or max(1, -(-total // shards))
+    if capacity:  # a bucket of small groups has about a sixteenth of a shard at most
+        buckets = max(buckets, -(-16 * total // capacity))
+    base = base.withColumn("bucket", F.pmod(F.col("digest"), F.lit(buckets)).cast("long"))
     # A group is large if it alone takes a noticeable part of a shard: at most `large` groups a shard are. With a fixed
     # capacity the number of shards grows with the corpus, and so does the number of items that are packed.
     groups = base.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
@@ -140,7 +143,7 @@ def assign(docs: DataFrame, shards: int | None = 16, capacity: int | None = None
     if shards is not None:
         bins = pack_into(sizes, shards)
     else:
-        room = max([capacity, *sizes[:1]])  # a single row beyond the capacity still has to stand somewhere
+        room = max([capacity, *sizes[:1]])  # a single row beyond the capacity, or rows of one text and id, still have to stand somewhere
         bins = pack(sizes, room)
     placed = spark.createDataFrame([(i, p, b) for (i, p, _), b in zip(held, bins, strict=True)], "item long, part int, shard int")
     items = items.join(F.broadcast(placed), ["item", "part"])

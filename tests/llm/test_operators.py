@@ -461,3 +461,10 @@ def test_cutoffs_hold_their_bound(spark):
         level = 0.05 / (len(quality.RULES) * 2)
         held = [c for c in quality.RULES["symbol_ratio"] if binomial_tail(len(good), 0.02 / len(quality.RULES), sum(x > c for x in good)) <= level]
         assert got[s, "symbol_ratio"] == min(held)
+
+
+def test_shards_keep_a_capacity_that_buckets_exceed(spark):
+    """More text than buckets times capacity: no shard holds more than asked for."""
+    docs = spark.createDataFrame([(i, f"text {i:05}", "en", "s", 0) for i in range(4000)], SCHEMA)
+    got = sharding.assign(docs, shards=None, capacity=1200, buckets=8).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()
+    assert max(r["bytes"] for r in got) <= 1200
