@@ -67,8 +67,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_minhash_neardup, op4_pii, op5_token_counts, op6_decontamination, op7_license_scan, op8_sharding, op9_byte_bpe, op10_quality_rules, pipeline)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-GRID = ", ".join(f"('{rule}', {cutoff!r}::DOUBLE)" for rule, grid in quality.RULES.items() for cutoff in map(float, grid))
-RISK = repr(quality.ALPHA / len(quality.RULES))
+GRID = ", ".join(f"('{rule}', {step}, {cutoff!r}::DOUBLE)" for rule, grid in quality.RULES.items() for step, cutoff in enumerate(grid))
+RISK = repr(quality.ALPHA)
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
         WITH cut AS (
@@ -122,12 +122,13 @@ ORACLE_SQL = {
             CASE WHEN n_words > 0 THEN n_repeat_words / n_words::DOUBLE ELSE 0 END AS repeat_word_ratio, CASE WHEN n_words > 0 THEN 0.0 - word_chars / n_words::DOUBLE ELSE -10 END AS short_words, CASE WHEN n_words > 0 THEN word_chars / n_words::DOUBLE ELSE 0 END AS long_words FROM m),
         long AS (SELECT row, stratum, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_word_ratio', 'short_words', 'long_words']) AS rule, unnest([symbol_ratio, dup_line_ratio, repeat_word_ratio, short_words, long_words]) AS x FROM f),
         good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
-        held AS (SELECT stratum, rule, x FROM long WHERE row IN (SELECT row FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good))),
-        grid(rule, cutoff) AS (VALUES {GRID}),
-        tried AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE x > cutoff) AS k FROM held JOIN grid USING (rule) GROUP BY 1, 2, 3),
-        tail AS (SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) AS p
+        held AS (SELECT row, stratum, rule, x FROM long WHERE row IN (SELECT row FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good))),
+        path(rule, step, cutoff) AS (VALUES {GRID}),
+        tried AS (SELECT stratum, step, count(DISTINCT row) AS n, count(DISTINCT row) FILTER (WHERE x > cutoff) AS k FROM held JOIN path USING (rule) GROUP BY 1, 2),
+        tail AS (SELECT stratum, step, n, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) AS p
             FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tried WHERE k <= n * {RISK}) GROUP BY 1, 2, 3),
-        cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p <= {quality.DELTA} / ({len(quality.RULES)} * (SELECT count(DISTINCT stratum) FROM held)) GROUP BY 1, 2),
+        taken AS (SELECT stratum, min(step) AS step FROM tail WHERE p <= {quality.DELTA} * n / (SELECT count(DISTINCT row) FROM held) GROUP BY 1),
+        cut AS (SELECT stratum, rule, cutoff FROM taken JOIN path USING (step)),
         broken AS (SELECT row, string_agg(rule, ',' ORDER BY rule) AS rules FROM long JOIN cut USING (stratum, rule) WHERE x > cutoff GROUP BY 1)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by FROM f LEFT JOIN broken USING (row)""",
 }

@@ -450,21 +450,100 @@ def binomial_tail(n, p, k):
     return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
 
 
+def path_steps(rows, alpha=0.02, delta=0.05):
+    """Brute force of the cutoffs: (stratum, five measures as measures() gives them, and lines) of good texts -> step by stratum."""
+    by = defaultdict(list)
+    for stratum, m in rows:
+        by[stratum].append(rejected(m))
+    out = {}
+    for stratum, own in by.items():
+        level = delta * len(own) / len(rows)
+        for step in reversed(range(quality.LEVELS)):
+            if binomial_tail(len(own), alpha, sum(n > step for n in own)) > level:
+                break
+            out[stratum] = step
+    return out
+
+
+def rejected(m):
+    """At how many steps of the path a text with these measures (words, their characters, symbols, lines, repeated lines, repeated words) is rejected."""
+    return max(sum(v > c for c in quality.RULES[r]) for r, v in ratios(m).items())
+
+
+def ratios(m):
+    n, chars, symbols, n_lines, dup, repeated = m
+    return {"symbol_ratio": symbols / chars if chars else 0, "dup_line_ratio": dup / n_lines if n_lines else 0, "repeat_word_ratio": repeated / n if n else 0, "short_words": -chars / n if n else -10, "long_words": chars / n if n else 0}
+
+
 def test_cutoffs_hold_their_bound(spark):
     rng = random.Random(9)
-    rows = [("ab"[i % 2], 100, 500, rng.choice([0] * 997 + [60, 100, 200]), 5, 0, 0) for i in range(6000)]
+    rows = [("aab"[i % 3], 100, 500, rng.choice([0] * 985 + [15, *range(20, 160, 10)]), 5, 0, 0) for i in range(6000)]
     measured = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
-    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.cutoffs(measured, 0.02, 0.05).collect()}
-    assert got
-    for s in "ab":
-        good = [r[3] / r[2] for r in rows if r[0] == s]
-        level = 0.05 / (len(quality.RULES) * 2)
-        held = [c for c in quality.RULES["symbol_ratio"] if binomial_tail(len(good), 0.02 / len(quality.RULES), sum(x > c for x in good)) <= level]
-        assert got[s, "symbol_ratio"] == min(held)
+    got = {r["stratum"]: r["step"] for r in quality.cutoffs(measured, 0.02, 0.05).collect()}
+    assert got == path_steps([(r[0], r[1:]) for r in rows]) and set(got) == {"a", "b"}
+    few = measured.filter("stratum = 'b'").limit(140)
+    assert quality.cutoffs(few, 0.02, 0.05).collect() == []  # fewer than 149 show nothing
+
+
+def labelled_table(spark, folder):
+    """Documents of two languages with enough labels for cutoffs, and junk without labels."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(i, " ".join(word(rng.randrange(3, 8)) for _ in range(40)), "xy"[i % 2], "s", 1) for i in range(700)]
+    rows += [(1000 + i, " ".join(word(4) + rng.choice(["$$$", "", "##"]) for _ in range(40)), "xyz"[i % 3], "s", 1) for i in range(60)]
+    rows += [(2000 + i, " ".join(word(rng.choice([1, 2, 18])) for _ in range(40)), "xyz"[i % 3], "s", 1) for i in range(60)] + [(3000, None, None, None, None), (3001, "", "x", "s", 0), (5, "too few", "x", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = labels(spark, [(i, 1, 0) for i in range(700)] + [(1000, 1, 0), (1001, 0, 0), (7, 0, 0), (None, 1, 0)])
+    docs.write.parquet(f"{folder}/documents.parquet")
+    marks.write.parquet(f"{folder}/labels.parquet")
+    return docs, marks
+
+
+def test_quality_cutoffs_act(spark, tmp_path):
+    """With labels enough the method rejects junk, as brute force and the SQL do, and the pipeline's stage as the query."""
+    import duckdb
+
+    from tessera.llm import queries
+    from tests.test_oracles import normal
+
+    docs, marks = labelled_table(spark, str(tmp_path))
+    got = queries.op10_quality_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = got.toPandas()
+    assert normal(found) == normal(con.execute(queries.ORACLE_SQL["op10_quality_rules"]).df())
+    rows = [r.asDict() for r in docs.collect()]
+    for r in rows:
+        n, chars, symbols, dup, repeated = measures(r["text"])
+        r["m"] = (n, chars, symbols, len([x for x in (r["text"] or "").split("\n") if x.strip()]), dup, repeated)
+        r["failed"] = n < 10 or 100 * repeated > 20 * n
+    good = {r["doc_id"] for r in marks.collect() if r["quality"] == 1} - {7}
+    steps = path_steps([(r["lang"] or "", r["m"]) for r in rows if r["doc_id"] in good and not r["failed"]])
+    want = Counter((r["doc_id"], not r["failed"] and rejected(r["m"]) <= steps.get(r["lang"] or "", quality.LEVELS)) for r in rows)
+    assert Counter(zip(found["doc_id"].where(found["doc_id"].notna(), None), found["kept"], strict=True)) == want
+    assert (found["rejected_by"] != "").sum() >= 60 and set(steps) == {"x", "y"}
+    assert Counter(r["doc_id"] for r in quality.keep_good(docs, marks).collect()) == Counter(d for (d, kept), n in want.items() if kept for _ in range(n))
 
 
 def test_shards_keep_a_capacity_that_buckets_exceed(spark):
-    """More text than buckets times capacity: no shard holds more than asked for."""
-    docs = spark.createDataFrame([(i, f"text {i:05}", "en", "s", 0) for i in range(4000)], SCHEMA)
-    got = sharding.assign(docs, shards=None, capacity=1200, buckets=8).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()
-    assert max(r["bytes"] for r in got) <= 1200
+    """More text than buckets times capacity: no shard holds more than asked for, groups stay whole, and there are hardly more shards than needed."""
+    docs = spark.range(600_000).selectExpr("id AS doc_id", "format_string('%08d', id % 500000) AS text")
+    got = sharding.assign(docs, shards=None, capacity=600, cell=100_000)
+    sums = got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last")).toPandas()
+    assert sums["bytes"].max() <= 600 and (sums["last"] == sums["n"] - 1).all()
+    assert len(sums) <= 1.02 * 600_000 / (600 // 9) and got.groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() < 60  # equal checksums of different texts
+
+
+def test_shards_of_a_capacity_hold_what_fits_none(spark):
+    """Small, large and repeated texts, a group beyond the capacity, single rows beyond it: only these exceed it, alone."""
+    rng = random.Random(11)
+    rows = [(i, "a" * rng.randrange(0, 90) + str(i // 2), "en", "s", 0) for i in range(3000)] + [(5000 + i, "hot " * 10, "en", "s", 0) for i in range(2000)] + [(8000 + i, "b" * 2000, "en", "s", 0) for i in range(3)] + [(None, None, None, None, None), (1, "x", "en", "s", 0), (1, "x", "en", "s", 0)]
+    got = sharding.assign(spark.createDataFrame(rows, SCHEMA), shards=None, capacity=1000, rows=500, cell=300).toPandas()
+    assert len(got) == len(rows)
+    for _, own in got.groupby("shard"):
+        assert own["size"].sum() <= 1000 or len(own) == 1
+        assert sorted(own["slot"]) == list(range(len(own)))
+    assert got[got["size"] < 200].groupby("text_crc32")["shard"].nunique().drop(zlib.crc32(b"hot " * 10)).max() == 1
+    assert got["shard"].nunique() <= 1.1 * (got["size"].sum() - 6003) / 1000 + 8
+    assert sorted(got["shard"].unique()) == list(range(got["shard"].nunique()))
