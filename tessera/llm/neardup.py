@@ -8,11 +8,16 @@ size plus t log t in place of their product.
 
 Equal sets are one class, known by its smallest document, before anything is compared. Coordinates are grouped into
 bands; in a bucket of classes that agree on a band, each is compared with the smallest one only, so a group of any size
-gives as many pairs as it has members. Links are confirmed on the full sets and joined to components. Where a bucket
-still holds members of different components that were not compared, they are banded again with 130 bands of 8, and pairs
-whose sketch bits differ by more than 4.75 standard deviations over what the least similarity gives are cut before the
-full sets are compared. So links can be lost at three steps (36 bands of 4, 130 bands of 8, the cut), each about one in a
-million at the least similarity; there is no exact join.
+gives as many pairs as it has members. Links are confirmed on the full sets and joined to components.
+
+Where a bucket still holds members of different components that were not compared, these are joined exactly: shingles
+are ordered by rarity (those of one component alone first), and two sets can be similar enough only if they share one
+of their rarest, at places that leave room for the overlap that their sizes ask for. Sets that share a frequent template
+but differ in the rest have their own words there, so they meet nowhere, and the work grows with the documents and not
+with the pairs. On each shingle the members of its largest component are never paired with each other.
+
+So a link can be lost only if its two sets agree on no band at all (36 bands of 4: about one in a million at the least
+similarity) and no other links join them.
 
 Inputs: null, empty or blank texts have empty sets and are linked with nothing; a text of fewer words is one shingle;
 rows with equal keys are one document, linked as any of them is; rows with a null key are linked with nothing and kept;
@@ -35,10 +40,6 @@ from tessera.llm import common
 
 #: Words in a shingle, least similarity (as a part of 100), bands, coordinates in a band, words whose hashes a worker remembers.
 SPAN, LEAST, BANDS, ROWS, MEMO = 5, 75, 36, 4, 500_000
-#: Bands, coordinates in a band and coordinates at all where buckets hold members that the first banding leaves open;
-#: standard deviations below what linked sets agree in on average, at which a pair is let go.
-FINE_BANDS, FINE_ROWS, FINE_ALL, SPREAD = 130, 8, 2_432, 4.75
-
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -177,38 +178,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, texts: DataFrame, span: int, least: int) -> DataFrame:
-    """Links between different components of (node, component), by finer bands and sketches."""
+    """All links between different components of (node, component), by prefixes of the rarest shingles."""
     own = texts.withColumnRenamed("doc_id", "node").join(members, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for part in common.slices(batch, "text", 1 << 19):
+            for part in common.slices(batch, "text", 1 << 20):
                 sets = shingle_sets(part.column(2).to_pylist(), words, span)
-                sketch = sketches(sets, FINE_ALL)
-                keys = band_keys(np.ascontiguousarray(sketch[:, : FINE_BANDS * FINE_ROWS]), FINE_BANDS, FINE_ROWS).astype(np.int32)
-                bits = np.packbits((sketch & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)  # one bit of each coordinate
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), listed(bits), listed(keys)], names=["node", "component", "n", "bits", "keys"])
-
-    fine = common.written(own.select("node", "component", "text").mapInArrow(run, "node long, component long, n long, bits array<long>, keys array<int>"), "fine")
-    each = fine.select("node", "component", F.posexplode("keys").alias("band", "k")).select("node", "component", "band", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("k")).alias("key"))
-    # Where components meet on a key, its largest one is told apart: pairs within it are never looked at, however many.
-    sizes = each.groupBy("key", "component").agg(F.count("*").alias("c"))
-    meet = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("major")).filter("components > 1").select("key", "major")
-    mixed = each.join(meet, "key").select("key", "band", "node", (F.col("component") == F.col("major")).alias("major"))
-    mixed = common.written(mixed.join(fine, "node"), "mixed")
-    side = lambda df, p: df.select("key", "band", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "n", "bits", "keys")))
-    agree = (1 + least / 100) / 2
-    apart = int(FINE_ALL * (1 - agree) + SPREAD * (FINE_ALL * agree * (1 - agree)) ** 0.5)
-    near = f"""100 * least(a_n, b_n) >= {least} * greatest(a_n, b_n)
-        AND aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {apart}
-        AND NOT exists(zip_with(slice(a_keys, 1, band), slice(b_keys, 1, band), (x, y) -> x = y), z -> z)"""
-    minor, major = mixed.filter("NOT major"), mixed.filter("major")
-    among = side(minor, "a").join(side(minor, "b"), ["key", "band"]).filter(f"a_node < b_node AND a_component <> b_component AND {near}")
-    against = side(minor, "a").join(side(major, "b"), ["key", "band"]).filter(near)
-    found = among.select("a_node", "b_node").union(against.select("a_node", "b_node"))
-    pairs = common.written(found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "rest")
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "component", "n", "shingles"])
+
+    sets = common.written(own.select("node", "component", "text").mapInArrow(run, "node long, component long, n long, shingles array<long>"), "sets")
+    each = sets.select("node", "component", "n", F.explode("shingles").alias("s"))
+    # Shingles that several components have: how many documents hold each, and the component that most of these are in.
+    counts = each.groupBy("s", "component").agg(F.count("*").alias("c"))
+    shared = counts.groupBy("s").agg(F.sum("c").alias("df"), F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("major")).filter("components > 1").select("s", "df", "major")
+    held = each.join(common.written(shared, "shared"), "s").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s", "major"))).alias("own"))
+    # Places from 0 in the order of rarity, in which the shingles of one component alone come first.
+    first = f"n - size(own) + i < n - (n * {least} + 99) div 100 + 1"
+    prefix = held.select("node", "component", "n", "own", F.posexplode("own").alias("i", "x")).filter(first)
+    length = F.log(F.col("n").cast("double")) / float(np.log(100 / least))
+    prefix = common.written(prefix.select("node", "component", "n", (F.col("n") - F.size("own") + F.col("i")).alias("p"), F.col("x.s").alias("s"), (F.col("component") == F.col("x.major")).alias("major"), length.alias("length")), "prefix")
+    # The smaller set is found by the larger one, in the classes of length that can be similar enough.
+    small = prefix.filter(f"(n - p) * {100 + least} >= {2 * least} * n").select("s", F.floor("length").alias("length"), *(F.col(c).alias(f"a_{c}") for c in ("node", "component", "n", "p", "major")))
+    large = prefix.select("s", F.explode(F.sequence(F.floor(F.col("length") - 1 - 1e-6), F.floor(F.col("length") + 1e-6))).alias("length"), *(F.col(c).alias(f"b_{c}") for c in ("node", "component", "n", "p", "major")))
+    room = f"""a_component <> b_component AND (a_n < b_n OR (a_n = b_n AND a_node < b_node)) AND 100 * a_n >= {least} * b_n
+        AND least(a_n - a_p, b_n - b_p) * {100 + least} >= {least} * (a_n + b_n)"""
+    met = small.filter("NOT a_major").join(large, ["s", "length"]).filter(room).unionByName(small.filter("a_major").join(large.filter("NOT b_major"), ["s", "length"]).filter(room))
+    pairs = common.written(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "rest")
     return _confirmed(pairs, texts, span, least)
 
 
@@ -255,6 +254,6 @@ def link(docs: DataFrame, span: int = SPAN, least: int = LEAST, bands: int = BAN
 
 def keep_first(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that are the smallest of their component, with their columns; rows that share a key stay or go together."""
-    drop = link(docs, key=key, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(drop, F.col(f"`{key}`").cast("long") == F.col("__drop"), "left_anti")
-    return kept
+    drop = link(docs, key=key, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(drop, "id", "left_anti").select("row.*")

@@ -196,6 +196,44 @@ def test_near_duplicates(spark, real):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+def templated(n, rng, shared=210, own=60):
+    template = [f"t{i}" for i in range(shared)]
+    return [" ".join(template + [f"u{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_documents_of_a_template_are_not_paired(spark, monkeypatch):
+    """Texts that share most of their words but are not linked: what is compared grows with the documents, not with their pairs."""
+    compared, written = Counter(), neardup.common.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name in ("first", "other", "rest"):
+            compared[name] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup.common, "written", counted)
+    texts = templated(800, random.Random(12))
+    work = []
+    for n in (400, 800):
+        compared.clear()
+        got = neardup.link(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts[:n])], SCHEMA))
+        assert got.filter("kept").count() == n
+        work.append(compared.total())
+    assert work[1] <= 2.2 * work[0] and work[1] < 20 * 800
+
+
+def test_links_within_a_template_are_found(spark):
+    rng = random.Random(13)
+    rows = []
+    for t in templated(60, rng):
+        words = t.split()
+        rows += [t, *(edited(words, rng, k) for k in (2, 5, 8, 9, 10))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], SCHEMA)
+    want = components_of({i: shingles(t) for i, t in enumerate(rows)})
+    assert {r["doc_id"]: r["component_id"] for r in neardup.link(docs).collect()} == want
+
+
 def test_sketches_fill_and_estimate():
     import numpy as np
 
