@@ -87,8 +87,11 @@ ORACLE_SQL = {
         runs AS (SELECT a.doc_id, a.no, b.first, a.last, a.total - b.total + b.n AS n, b.total - b.n AS before, a.total
             FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.no <= a.no AND a.total - b.total + b.n >= 8 AND a.total - b.total < 8),
         keyed AS (SELECT r.*, array_to_string(w[before + 1 : total], ' ') AS key FROM runs r JOIN words USING (doc_id)),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, no) AS place, min(doc_id) OVER (PARTITION BY key) AS first_doc_id FROM keyed)
-        SELECT doc_id, first::INTEGER AS start, last::INTEGER AS "end", n::INTEGER AS n_words, first_doc_id FROM ranked WHERE place > 1""",
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, no) AS place, min(doc_id) OVER (PARTITION BY key) AS first_doc_id FROM keyed),
+        hits AS (SELECT *, max(total) OVER (PARTITION BY doc_id ORDER BY before, total ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranked WHERE place > 1),
+        islands AS (SELECT *, sum((reach IS NULL OR before > reach)::INT) OVER (PARTITION BY doc_id ORDER BY before, total ROWS UNBOUNDED PRECEDING) AS island FROM hits)
+        SELECT doc_id, min(first)::INTEGER AS start, max(last)::INTEGER AS "end", (max(total) - min(before))::INTEGER AS n_words, min(first_doc_id) AS first_doc_id
+        FROM islands GROUP BY doc_id, island HAVING max(total) - min(before) >= 25""",
     "op3_minhash_neardup": rf"""
         WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),

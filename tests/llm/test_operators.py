@@ -250,10 +250,15 @@ def test_repeats(spark, real):
     seen, want = {}, set()
     rows = real.select("doc_id", "text").orderBy("doc_id").collect()
     for r in rows:
-        for start, end, n, digest, _ in repeats.units(r["text"]):
+        spans = []
+        for start, end, w0, w1, digest, _ in repeats.units(r["text"]):
             if digest in seen:
-                want.add((r["doc_id"], start, end, n, seen[digest]))
+                if spans and w0 <= spans[-1][3]:
+                    spans[-1] = (min(start, spans[-1][0]), max(end, spans[-1][1]), min(w0, spans[-1][2]), max(w1, spans[-1][3]), min(seen[digest], spans[-1][4]))
+                else:
+                    spans.append((start, end, w0, w1, seen[digest]))
             seen.setdefault(digest, r["doc_id"])
+        want |= {(r["doc_id"], a, b, w1 - w0, first) for a, b, w0, w1, first in spans if w1 - w0 >= repeats.SPAN}
     got = {tuple(x) for x in repeats.repeated(real).collect()}
     assert got == want and want
     texts = {r["doc_id"]: r["text"] for r in rows}
