@@ -5,8 +5,10 @@ context before it, its neighbours and its length. The votes of all documents are
 maximisation estimates how reliable each labeler is for each kind, and the posteriors train a logistic classifier over
 the votes and shapes, which decides on the spans that the strict patterns don't already give. Those always stay.
 
-What is gathered on the driver is a count for each pattern of votes and shape, of which there are a bounded number
-whatever the corpus. The texts are read twice, without a shuffle.
+Proposed beyond the strict patterns are: addresses with (at) and (dot) or without a domain, any four numbers with dots, any
+seven digits and more with the usual separators (phone numbers without a country, cards that fail their checksum), and, as
+a kind of its own, `secret`: unbroken runs of 16 characters and more in which letters and digits mix (keys, tokens,
+passwords).
 
 Inputs: null and empty texts have no spans; repeated rows are scanned each; an empty table, or one without candidates,
 gives the strict spans only; only the key and the text column are read, so further columns never clash. Long texts are
@@ -27,8 +29,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
+#: The kinds with strict patterns, and all.
 KINDS = ("email", "ip", "card", "phone")
+EVERY = (*KINDS, "secret")
 LABELERS = ("strict", "checksum", "gazetteer", "context", "neighbours", "length")
+#: What is held of labelers before any vote is seen, as counts of votes (against, none, for) where a span is not and where it is of the kind:
+#: a checksum that fails says most, neighbours and length say little. It decides where there are hardly any candidates, and fades with their number.
+HELD = {
+    "strict": ((1, 3, 0.2), (1, 1, 2)), "checksum": ((4, 1, 0.5), (0.1, 1, 2)), "gazetteer": ((2, 1, 0.5), (0.5, 1, 2)),
+    "context": ((2, 2, 0.3), (0.15, 0.7, 2)), "neighbours": ((2, 1, 1.2), (0.3, 1, 2)), "length": ((2, 1, 1.2), (0.3, 1, 2)),
+}
 #: Rounds of expectation-maximisation, steps of the classifier, the probability from which a span is taken.
 ROUNDS, STEPS, TAKEN = 50, 300, 0.5
 
@@ -42,17 +52,23 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]\x20?(?:at|AT)\x20?[)\]]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]\x20?(?:dot|DOT)\x20?[)\]]\x20?)[A-Za-z0-9-]{1,63})+")
 NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+")
+SECRET = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 DIGIT = re.compile("[0-9]")
-# Gazetteers: ends of host names, first digits of card numbers, and words that announce a kind.
+MIXED = re.compile("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])")
+# Gazetteers: ends of host names, first digits of card numbers, openings of keys, and words that announce a kind.
 ENDINGS = frozenset("com org net edu gov info io eu de fr es it uk us ch at nl".split())
 ISSUERS = re.compile("4|5[1-5]|3[47]|6011|65|35|2[2-7]")
+ISSUED = re.compile("AKIA|ASIA|ghp_|gho_|sk-|sk_|pk_|xox[abp]-|eyJ|AIza|glpat-")
 TRIGGERS = {
+    "secret": frozenset("token secret password passwd pwd key api apikey api_key access_key secret_key auth bearer credential credentials passwort clave contraseña".split()),
     "email": frozenset("mail email e-mail contact write correo courriel".split()),
     "ip": frozenset("ip address host server login from".split()),
     "card": frozenset("card visa mastercard amex credit debit iban account karte carte tarjeta".split()),
     "phone": frozenset("call phone tel telephone mobile fax telefon teléfono".split()),
 }
-AGAINST = frozenset("version v release section page isbn token key hash sha id commit no.".split())
+AGAINST = frozenset("version v release section page isbn token key hash sha id commit no. order invoice".split())
+#: Words that speak against a secret: what is public by what it is.
+PUBLIC = frozenset("sha md5 hash commit checksum digest isbn uuid id http https www version file path".split())
 
 
 def strict_emails(text: str) -> list[tuple[int, int]]:
@@ -123,6 +139,8 @@ def proposals(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[s
             n = len(digits_of(m[0]))
             if n <= 19:
                 loose.append(("card" if n >= 13 else "phone", *m.span(), False))
+        if max(map(len, text.split()), default=0) >= 16:
+            loose += [("secret", *m.span(), False) for m in SECRET.finditer(text) if DIGIT.search(m[0]) and not m[0].replace("-", "").isdigit() and any(c.isalpha() for c in m[0])]
     if loose:
         held = sorted((a, b) for _, a, b, _ in out)
         end, k = 0, 0
@@ -152,14 +170,22 @@ def votes(text: str, kind: str, a: int, b: int, is_strict: bool) -> str:
     elif kind == "email":
         gazetteer = "+" if re.split(r"[^a-z]+", span.lower().rstrip("-.)]"))[-1] in ENDINGS else "-"
         length = "+" if len(span) <= 80 else "-"
+    elif kind == "secret":
+        # Characters in no order: capitals, small letters and digits change places all along, as they do not in words and names.
+        checksum = "+" if 5 * len(MIXED.findall(span)) >= len(span) else "-"
+        gazetteer = "+" if ISSUED.match(span) else "0"
+        length = "+" if 20 <= len(span) <= 128 else "-"
     else:
         gazetteer = "+" if span[0] == "+" else "0"
         length = "+" if 9 <= n <= 13 else "-"
         checksum = "+" if "(" in span and ")" in span else "0"
     before = re.split(r"[\s:=,;\"']+", text[max(0, a - 40) : a].lower())
-    context = "+" if TRIGGERS[kind].intersection(before) else "-" if AGAINST.intersection(before) else "0"
-    near = text[a - 1 : a] + text[b : b + 1]
-    neighbours = "-" if any(c.isalnum() or c in "_/=" for c in near) else "+"
+    context = "+" if TRIGGERS[kind].intersection(before) else "-" if (PUBLIC if kind == "secret" else AGAINST).intersection(before) else "0"
+    near = text[a - 1 : a] + text[b : b + 1] if a else text[b : b + 1]
+    if kind == "secret":  # quoted or assigned
+        neighbours = "+" if any(c in "\"'`:=" for c in near) else "-" if any(c.isalnum() or c in "./@&?" for c in near) else "0"
+    else:
+        neighbours = "-" if any(c.isalnum() or c in "_/=" for c in near) else "+"
     shape = f"{min(n, 20):02d}{'s' if ' ' in span else '-'}{'p' if '(' in span else '-'}{'d' if '.' in span else '-'}"
     return f"{kind}|{'+' if is_strict else '0'}{checksum}{gazetteer}{context}{neighbours}{length}|{shape}"
 
@@ -186,21 +212,23 @@ def features(pattern: str) -> list[str]:
 
 
 def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[str, float], dict[str, np.ndarray]]:
-    """Posterior of each pattern, priors, and P(vote | truth) by kind as [labeler, truth, vote], starting at the majority of votes."""
+    """Posterior of each pattern, priors, and P(vote | truth) by kind as [labeler, truth, vote], starting from what is held of the labelers."""
     posterior, priors, reliabilities = np.zeros(len(patterns)), {}, {}
-    for kind in KINDS:
+    for kind in EVERY:
         rows = [i for i, p in enumerate(patterns) if p.startswith(kind + "|")]
         if not rows:
             continue
         cast = np.array([["-0+".index(v) for v in patterns[i].split("|")[1]] for i in rows])
         weight = counts[rows].astype(float)
-        q = np.clip(0.5 + 0.5 * (cast - 1).sum(axis=1) / len(LABELERS), 0.05, 0.95)
+        q = None
         for _ in range(rounds):
-            prior = np.clip((weight * q).sum() / weight.sum(), 0.01, 0.99)
-            given = np.ones((len(LABELERS), 2, 3))  # one of each vote besides those seen
-            for truth, share in enumerate((1 - q, q)):
-                for labeler in range(len(LABELERS)):
-                    given[labeler, truth] += np.bincount(cast[:, labeler], weights=weight * share, minlength=3)
+            given = np.array([HELD[name] for name in LABELERS], dtype=float)
+            prior = 0.5
+            if q is not None:
+                prior = ((weight * q).sum() + 1) / (weight.sum() + 2)
+                for truth, share in enumerate((1 - q, q)):
+                    for labeler in range(len(LABELERS)):
+                        given[labeler, truth] += np.bincount(cast[:, labeler], weights=weight * share, minlength=3)
             given /= given.sum(axis=2, keepdims=True)
             said = np.log(given)[np.arange(len(LABELERS))[None, :], :, cast].sum(axis=1)
             q = 1 / (1 + np.exp(np.clip(said[:, 0] - said[:, 1] + np.log((1 - prior) / prior), -50, 50)))
@@ -253,7 +281,7 @@ def spans_of(text: str | None, model: Model) -> tuple[dict[str, list[tuple[int,
         return {k: [] for k in KINDS}, []
     base = strict(text)
     found = [(k, a, b) for k, a, b, own in proposals(text, base) if own or model.takes(votes(text, k, a, b, own))]
-    return base, sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    return base, sorted(found, key=lambda s: (EVERY.index(s[0]), s[1], s[2]))
 
 
 def said(spans: list[tuple[str, int, int]]) -> str:
