@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | before) = P(class | before) * P(word | class, before). Both factors see the words before, themselves: hashed
-features of one and two words before (n-grams) and of the second and the third before alone (skips).
+features of one and two words before (n-grams) and of the second before alone (skip).
 
 The first factor starts from a log-linear model over hashed features of the classes before: bias, one before, two before,
 and the second and third before alone. It is trained by distributed gradient steps on counts of (three classes before,
@@ -10,13 +10,17 @@ share of its class. From there on both are softmaxes over binary trees, one over
 each class, which the counts halve. The log-odds of each fork are what the start gives, plus the weights of the features
 at that fork, hashed into one table of SLOTS. Forks with weights of 0 give the start; each one is normalised, so all are.
 Each of PASSES goes over all words of the training texts: tasks sum, for each weight, what was seen less what was
-expected and its variance, in integers, so that the order of sums does not matter; the driver takes a damped Newton step.
+expected and its variance, rounded to integers, so that the order in which tasks are added does not matter; the driver
+takes a damped Newton step.
+
+Texts are split once: the numbers of their words are written, and training and scoring read these.
 
 Classes: the `hot` most frequent words (seen twice or more) fall, by the group (language) they mostly stand in, into
 tiers of about equal weight; all other words into one class for each group, told by the word's end, so that the class
 of any word, seen or not, is known without a look at the counts of all words. The trees of the classes of other words
 have buckets of word ends as leaves; a word has its share of its bucket, where one part is kept for unseen words, as
-large as the number of words seen once. Before a word, other words stand with a hash of their own.
+large as the number of words seen once. An unseen word has that part over the number of words that are still unseen in its
+bucket, as the numbers seen once and twice tell (Chao's estimate). Before a word, other words stand with a hash of their own.
 
 What is broadcast (hot words, trees, weights) is bounded by parameters. Counts of all other words grow with the corpus
 and are joined, not broadcast.
@@ -41,9 +45,9 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 #: Words known on every worker, groups, tiers of hot words in a group, buckets of word ends, hashed features, gradient steps, their length.
-HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 24, 0.4
+HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 12, 0.4
 #: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
-SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 15
+SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 1, 0.7, 3.0, 1 << 15
 #: Slots that are summed together, and the parts of one that gradients are rounded to.
 BLOCK, PARTS = 1 << 16, 1 << 5
 #: The end of a text; no word holds white space.
@@ -51,6 +55,8 @@ END = b"\n"
 #: Words that a worker counts before it passes their counts on.
 FLUSH = 300_000
 FEATURES = 5
+#: Hashes that words beyond the hot ones are told apart by, so that they and their end make a positive 32-bit number.
+OTHERS = 1 << 19
 #: Tasks of a gradient step.
 TASKS = 4
 
@@ -99,7 +105,7 @@ class Tree:
     forks: np.ndarray
     right: np.ndarray  # whether the way goes to the second part
     bounds: np.ndarray  # of each fork: first leaf, first leaf of the second part, end
-    keys: np.ndarray  # of each fork, for hashing
+    keys: np.ndarray  # of each fork, for hashing: 32 bits
 
 
 def tree_over(groups: list[np.ndarray], weight: np.ndarray, first: int = 0) -> Tree:
@@ -123,7 +129,7 @@ def tree_over(groups: list[np.ndarray], weight: np.ndarray, first: int = 0) -> T
     by = np.argsort(leaf, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(weight)))]).astype(np.int64)
     bounds = np.concatenate(bounds) if bounds else np.empty((0, 3), np.int64)
-    return Tree(starts, fork[by].astype(np.int32), right[by], bounds, mixed(np.arange(first, first + n, dtype=np.uint64)))
+    return Tree(starts, fork[by].astype(np.int32), right[by], bounds, (mixed(np.arange(first, first + n, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -147,7 +153,8 @@ class Vocabulary:
     class_weight: np.ndarray  # log10 of the denominator of P(word | class)
     unseen: np.ndarray  # for each group's class of other words, log10 of what an unseen one has
     end_weight: np.ndarray  # what all other words with an end have, the unseen one among them
-    end_unseen: np.ndarray  # what the unseen one has
+    end_unseen: np.ndarray  # what the unseen ones have
+    end_each: np.ndarray  # log10 of what each of them has
     class_tree: Tree
     word_tree: Tree  # leaves: the hot words, then the ends; no fork joins classes
 
@@ -156,34 +163,28 @@ class Vocabulary:
 
         class Places(dict):
             def __missing__(self, word: bytes) -> int:
-                return -1 - (zlib.crc32(word) * ENDS + zlib.crc32(word[-3:]) % ENDS)
+                return -1 - (zlib.crc32(word) % OTHERS * ENDS + zlib.crc32(word[-3:]) % ENDS)
 
         return Places(self.hot)
 
-    def lookup(self) -> dict[bytes, int]:
-        """word -> place among the hot ones; -1 - group for others."""
-        ends = self.ends.tolist()
-
-        class Lookup(dict):
-            def __missing__(self, word: bytes) -> int:
-                return -1 - ends[zlib.crc32(word[-3:]) % ENDS]
-
-        return Lookup(self.hot)
-
 
 def vocabulary(counts: DataFrame, hot: int = HOT, groups: int = GROUPS, tiers: int = TIERS) -> Vocabulary:
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    by_end = counts.groupBy("end", "grp").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
+    # The groups beyond the largest count as the first: what the driver gathers is ENDS times `groups` rows at most.
+    most = counts.groupBy("grp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "grp").limit(groups).select("grp").collect()
+    counts = counts.withColumn("grp", F.when(F.col("grp").isin([r["grp"] for r in most]), F.col("grp")).otherwise(most[0]["grp"] if most else None))
+    by_end = counts.groupBy("end", "grp").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).collect()
     weight = Counter()
     for r in by_end:
         weight[r["grp"]] += r["n"]
     names = {g: i for i, (g, _) in enumerate(sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:groups])}
     n_groups = max(1, len(names))
-    votes, total, once = np.zeros((ENDS, n_groups)), np.zeros(ENDS), np.zeros(ENDS)
+    votes, total, once, twice = np.zeros((ENDS, n_groups)), np.zeros(ENDS), np.zeros(ENDS), np.zeros(ENDS)
     for r in by_end:
         votes[r["end"], names.get(r["grp"], 0)] += r["n"]
         total[r["end"]] += r["n"]
         once[r["end"]] += r["once"]
+        twice[r["end"]] += r["twice"]
     ends = votes.argmax(axis=1)
     # The least count at which no more than `hot` words are left, from how many words there are of each count.
     of_count = counts.filter("n >= 2").groupBy("n").agg(F.count("*").alias("words"))
@@ -217,21 +218,19 @@ def vocabulary(counts: DataFrame, hot: int = HOT, groups: int = GROUPS, tiers: i
         denominators[g * (tiers + 1) + tiers] = max(0.0, total[ends == g].sum()) + part
     end_unseen = once + 1 / np.bincount(ends, minlength=n_groups)[ends]
     end_weight = np.maximum(0.0, total) + end_unseen
+    end_each = np.log10(end_unseen / np.maximum(1.0, once * (once - 1) / (2 * (twice + 1))))
     leaves = [np.flatnonzero(of == c) for c in range(classes)]
     for g in range(n_groups):
         leaves[g * (tiers + 1) + tiers] = len(words) + np.flatnonzero(ends == g)
     class_tree = tree_over([np.arange(classes)], np.bincount(of, weights=n, minlength=classes) + np.bincount(ends * (tiers + 1) + tiers, weights=end_weight, minlength=classes))
     word_tree = tree_over(leaves, np.concatenate([n, end_weight]), classes)
-    return Vocabulary(int(tokens), int(types), known, of, n, ends, classes, np.log10(np.maximum(denominators, 1.0)), unseen, end_weight, end_unseen, class_tree, word_tree)
+    return Vocabulary(int(tokens), int(types), known, of, n, ends, classes, np.log10(np.maximum(denominators, 1.0)), unseen, end_weight, end_unseen, end_each, class_tree, word_tree)
 
 
-def class_runs(texts: list[bytes | None], lookup: dict[bytes, int], v: Vocabulary) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; over all of them: its length, places of words (as places() gives), classes, contexts (three classes before, packed)."""
-    split = [words_of(t) for t in texts]
-    n = np.array([len(w) for w in split], dtype=np.int64)
-    found = np.fromiter((p for words in split for p in map(lookup.__getitem__, words)), np.int64, n.sum())
+def context_of(n: np.ndarray, found: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words of texts with so many words: classes, contexts (three classes before, packed)."""
     tiers = (v.classes - 1) // len(v.unseen)
-    of = np.where(found >= 0, v.hot_class[np.maximum(found, 0)], v.ends[(-1 - found) % ENDS] * tiers + tiers - 1)
+    of = np.where(found >= 0, v.hot_class[np.maximum(found, 0)], v.ends[(-1 - found) % ENDS] * tiers + tiers - 1).astype(np.int64)
     base, pad = v.classes + 1, v.classes
     place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     context = np.zeros(len(of), dtype=np.int64)
@@ -239,7 +238,56 @@ def class_runs(texts: list[bytes | None], lookup: dict[bytes, int], v: Vocabular
         before = np.full(len(of), pad)
         before[back:] = of[:-back] if back < len(of) else of[:0]
         context = context * base + np.where(place >= back, before, pad)
-    return split, n, found, of, context
+    return of, context
+
+
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists of numbers, and all their numbers."""
+    return np.diff(column.offsets.to_numpy()).astype(np.int64), column.flatten().to_numpy().astype(np.int64)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], ids: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most that many numbers in the lists of a column, or one row."""
+    for batch in batches:
+        offsets = batch.column(ids).offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def split_rows(rows: DataFrame, shared) -> DataFrame:
+    """(doc_id, held_out, n, known, base, ids, rare) from (doc_id, text, held_out): the words of each text by number, and
+    what the base score needs: what the hot words among them give, and the others, each once, for the join with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        places = v.places()
+        base_of, unseen, nothing = np.log10(v.hot_count + 1.0), v.end_each.tolist(), v.tokens == 0
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                split = [words_of(t) for t in part.column(1).to_pylist()]
+                n = np.array([len(w) for w in split], dtype=np.int64)
+                found = np.fromiter((p for words in split for p in map(places.__getitem__, words)), np.int32, n.sum())
+                is_hot = found >= 0
+                owner = np.repeat(np.arange(len(n)), n)
+                known = np.bincount(owner, weights=is_hot, minlength=len(n)) * (not nothing)
+                base = np.bincount(owner, weights=np.where(is_hot, base_of[np.maximum(found, 0)], 0.0), minlength=len(n)) * (not nothing)
+                others, times, shares, starts = [], [], [], [0]
+                for words, last in zip(split, np.cumsum(n), strict=True):
+                    if not nothing:
+                        rest = Counter(words[i] for i in np.flatnonzero(~is_hot[last - len(words) : last]).tolist())
+                        others += rest
+                        times += rest.values()
+                        shares += [unseen[word_end(w)] for w in rest]
+                    starts.append(len(others))
+                rare = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times, pa.int32()), pa.array(shares, pa.float32())], names=["word", "times", "part"])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(found))
+                columns = [part.column(0), part.column(2), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), ids, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rare)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n", "known", "base", "ids", "rare"])
+
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, n long, known long, base double, ids array<int>, rare array<struct<word:binary,times:int,part:float>>")
 
 
 def features(contexts: np.ndarray, classes: int, hashed: int = HASHED) -> np.ndarray:
@@ -259,22 +307,20 @@ def log_shares(contexts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def event_counts(rows: DataFrame, shared, classes: int) -> DataFrame:
-    """(context, class, n) of all training texts: bounded by the number of classes."""
+def event_counts(learnt: DataFrame, shared) -> DataFrame:
+    """(context, class, n) of all training texts (ids): bounded by the number of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        lookup = v.places()
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                _, _, _, of, context = class_runs(part.column(0).to_pylist(), lookup, v)
-                new, n = np.unique(context * classes + of, return_counts=True)
-                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys // classes), pa.array((keys % classes).astype(np.int32)), pa.array(counts)], names=["context", "class", "n"])
+        for part in parts_of(batches, 0):
+            of, context = context_of(*lists_of(part.column(0)), v)
+            new, n = np.unique(context * v.classes + of, return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys // v.classes), pa.array((keys % v.classes).astype(np.int32)), pa.array(counts)], names=["context", "class", "n"])
 
-    return rows.mapInArrow(run, "context long, class int, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
+    return learnt.mapInArrow(run, "context long, class int, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
 
 
 def train(events: DataFrame, classes: int, hashed: int = HASHED, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
@@ -324,11 +370,14 @@ class Forks:
 
     def __init__(self, v: Vocabulary, model: np.ndarray, slots: np.ndarray):
         self.v, self.model, self.slots = v, model, slots
-        self.shift = np.uint64(64 - (len(slots).bit_length() - 1))
+        self.shift = np.uint32(32 - (len(slots).bit_length() - 1))
         # Where a hot word's way through the trees starts: its class's way, then its own.
         place = np.concatenate([[0.0], np.cumsum(np.concatenate([v.hot_count, v.end_weight])[self.order()] + 1e-9)])
         a, m, b = v.word_tree.bounds.T
-        self.start = np.log(place[b] - place[m]) - np.log(place[m] - place[a])
+        start = (np.log(place[b] - place[m]) - np.log(place[m] - place[a])).astype(np.float32)
+        # For either tree: where each leaf's way starts; of each fork on it the key, the way, and what the odds start from (of classes: the fork, as it depends on the context).
+        told = lambda tree, odds: (tree.starts.astype(np.int32), tree.keys[tree.forks], tree.right, odds)
+        self.ways = told(v.class_tree, v.class_tree.forks), told(v.word_tree, start[v.word_tree.forks])
 
     def order(self) -> np.ndarray:
         tiers, hot = (self.v.classes - 1) // len(self.v.unseen), len(self.v.hot_class)
@@ -343,46 +392,46 @@ class Forks:
         return (np.log(np.maximum(summed[:, b] - summed[:, m], 1e-12)) - np.log(np.maximum(summed[:, m] - summed[:, a], 1e-12))).astype(np.float32)
 
     def parts(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For consecutive parts of the words: from, to; of each fork on their ways: the word, the way, ln odds; its slots, an array for each feature."""
+        """For consecutive parts of the words, and in each for either tree: from, to; of each fork on their ways: the word, the way, ln odds; its slots, an array for each feature."""
         v, hot = self.v, len(self.v.hot_class)
         place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         leaf = np.where(found >= 0, found, hot + (-1 - found) % ENDS)
         word = mixed(found.astype(np.uint64))
         back = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             shifted = np.zeros(len(word), dtype=np.uint64)
             shifted[k:] = word[:-k] if k < len(word) else word[:0]
             back.append(np.where(place >= k, shifted, np.uint64(k)))
         with np.errstate(over="ignore"):
-            told = [mixed(back[0]), mixed(back[0] * np.uint64(3) + mixed(back[1])), mixed(back[1] + np.uint64(5)), mixed(back[2] + np.uint64(7))]
+            told = [mixed(back[0]), mixed(back[0] * np.uint64(3) + mixed(back[1])), mixed(back[1] + np.uint64(5))]
+        told = [(h >> np.uint64(32)).astype(np.uint32) for h in told]
         distinct, at = np.unique(context, return_inverse=True)
-        starts = self.class_start(distinct)
+        class_starts = self.class_start(distinct)
         for a in range(0, len(of), HELD):
             b = min(len(of), a + HELD)
-            owner, ways, odds, keys = [], [], [], []
-            for tree, leaves in ((v.class_tree, of[a:b]), (v.word_tree, leaf[a:b])):
-                size = tree.starts[leaves + 1] - tree.starts[leaves]
-                own = np.repeat(np.arange(b - a), size)
-                way = np.arange(len(own)) + np.repeat(tree.starts[leaves] - (np.cumsum(size) - size), size)
-                fork = tree.forks[way]
-                owner.append(own)
-                ways.append(tree.right[way])
-                keys.append(tree.keys[fork])
-                odds.append(starts[at[a:b][own], fork] if tree is v.class_tree else self.start[fork])
-            own, key = np.concatenate(owner), np.concatenate(keys)
-            x = np.concatenate(odds).astype(np.float32)
-            slots = []
-            for h in told:
-                slot = ((h[a:b][own] + key) >> self.shift).view(np.int64)
-                x += self.slots[slot]
-                slots.append(slot)
-            yield a, b, own, np.concatenate(ways), x, slots
+            for (starts, keys, right, odds), leaves in ((self.ways[0], of[a:b]), (self.ways[1], leaf[a:b])):
+                first = starts[leaves]
+                size = starts[leaves + 1] - first
+                own = np.repeat(np.arange(b - a, dtype=np.int32), size)
+                way = np.arange(len(own), dtype=np.int32)
+                way += np.repeat(first - (np.cumsum(size, dtype=np.int32) - size), size)
+                key = keys[way]
+                x = class_starts[at[a:b][own], odds[way]] if odds.dtype == np.int32 else odds[way]
+                slots = []
+                for h in told:
+                    slot = np.repeat(h[a:b], size)
+                    slot ^= key
+                    slot *= np.uint32(0x9E3779B1)
+                    slot >>= self.shift
+                    x += self.slots[slot.view(np.int32)]
+                    slots.append(slot.view(np.int32))
+                yield a, b, own, right[way], np.clip(x, -30, 30, out=x), slots
 
     def logs(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> np.ndarray:
         """ln of the share of each word, or for other words of their end."""
         out = np.zeros(len(of))
         for a, b, own, way, x, _ in self.parts(n, found, of, context):
-            out[a:b] = -np.bincount(own, weights=np.logaddexp(np.float32(0), np.where(way, -x, x)), minlength=b - a)
+            out[a:b] -= np.bincount(own, weights=np.log1p(np.exp(np.where(way, -x, x))), minlength=b - a)
         return out
 
 
@@ -396,26 +445,24 @@ def unpacked(x: bytes) -> np.ndarray:
     return x >> 1 ^ -(x & 1)
 
 
-def fit(rows: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.ndarray:
-    """The weights of the words' features at forks, from all words of the training texts."""
-    spark = rows.sparkSession
+def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.ndarray:
+    """The weights of the words' features at forks, from all words of the training texts (ids)."""
+    spark = learnt.sparkSession
     slots = np.zeros(size, dtype=np.float32)
     for _ in range(passes):
         given = spark.sparkContext.broadcast(slots)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             v, forks = shared.value, Forks(shared.value, model.value, given.value)
-            lookup = v.places()
-            sums = np.zeros(size, dtype=complex)  # what was seen less what was expected, and the variance, side by side in memory
-            for batch in batches:
-                for part in common.slices(batch, "text"):
-                    _, n, found, of, context = class_runs(part.column(0).to_pylist(), lookup, v)
-                    for _, _, _, way, x, at in forks.parts(n, found, of, context):
-                        p = 1 / (1 + np.exp(-x))
-                        both = np.empty(len(p), dtype=complex)
-                        both.real, both.imag = way - p, p * (1 - p)
-                        for slot in at:
-                            np.add.at(sums, slot, both)
+            sums = np.zeros(size, dtype=np.complex64)  # what was seen less what was expected, and the variance, side by side in memory
+            for part in parts_of(batches, 0):
+                n, found = lists_of(part.column(0))
+                for _, _, _, way, x, at in forks.parts(n, found, *context_of(n, found, v)):
+                    p = 1 / (1 + np.exp(-x))
+                    both = np.empty(len(p), dtype=np.complex64)
+                    both.real, both.imag = way - p, p * (1 - p)
+                    for slot in at:
+                        np.add.at(sums, slot, both)
             for block in range(-(-size // BLOCK)):
                 own = sums[block * BLOCK : (block + 1) * BLOCK]
                 if own.any():
@@ -431,7 +478,7 @@ def fit(rows: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.n
                 step = STRIDE * g / (h + DAMP * PARTS)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([step.astype(np.float32).tobytes()], pa.binary())], names=["block", "step"])
 
-        found = rows.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(summed, "block int, step binary")
+        found = learnt.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(summed, "block int, step binary")
         slots = slots.copy()
         for r in found.toLocalIterator():
             own = slots[r["block"] * BLOCK : (r["block"] + 1) * BLOCK]
@@ -441,7 +488,10 @@ def fit(rows: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.n
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str | None = "lang", hot: int = HOT, steps: int = STEPS, size: int = SLOTS, passes: int = PASSES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learnt from the rows not held out."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learnt from the rows not held out.
+
+    score is the log10 probability of the text over all known words and an estimated number of unseen ones in each bucket.
+    """
     spark = docs.sparkSession
     grp = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("")) if group and group in docs.columns else F.lit("")
     own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"), grp.alias("grp"), held_out(F.col(f"`{key}`").cast("long")).alias("held_out"))
@@ -449,54 +499,34 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str |
     counts = common.written(word_counts(learnt.select("text", "grp")), "words")
     v = vocabulary(counts, hot)
     shared = spark.sparkContext.broadcast(v)
-    events = common.written(event_counts(learnt.select("text"), shared, v.classes), "events")
+    # Rows, not documents, are numbered: keys may repeat.
+    runs = common.written(split_rows(own.select("doc_id", "text", "held_out"), shared).withColumn("row", F.monotonically_increasing_id()), "runs")
+    ids = runs.filter(~F.col("held_out")).select("ids")
+    events = common.written(event_counts(ids, shared), "events")
     model = spark.sparkContext.broadcast(train(events, v.classes, steps=steps))
-    slots = spark.sparkContext.broadcast(fit(learnt.select("text"), shared, model, size, passes))
+    slots = spark.sparkContext.broadcast(fit(ids, shared, model, size, passes))
     ten = 1 / np.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, forks = shared.value, Forks(shared.value, model.value, slots.value)
-        lookup = v.places()
-        base_of, ends_of = np.log10(v.hot_count + 1.0), np.log10(v.end_weight)
-        unseen = np.log10(v.end_unseen).tolist()
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                split, n, found, of, context = class_runs(part.column(1).to_pylist(), lookup, v)
-                logs = forks.logs(n, found, of, context) * ten
-                is_hot = found >= 0
-                logs -= np.where(is_hot, 0.0, ends_of[(-1 - found) % ENDS])
-                if nothing := v.tokens == 0:
-                    is_hot = np.zeros_like(is_hot)
-                base = np.where(is_hot, base_of[np.maximum(found, 0)], 0.0)
-                owner = np.repeat(np.arange(len(n)), n)
-                sums = lambda x: np.bincount(owner, weights=x, minlength=len(n))  # noqa: B023, E731
-                others, times, parts, starts = [], [], [], [0]
-                ends = np.cumsum(n)
-                for words, last in zip(split, ends, strict=True):
-                    if not nothing:
-                        ids = found[last - len(words) : last]
-                        rest = Counter(words[i] for i in np.flatnonzero(ids < 0))
-                        others += rest
-                        times += rest.values()
-                        parts += [unseen[word_end(w)] for w in rest]
-                    starts.append(len(others))
-                offsets = pa.array(starts, pa.int32())
-                rare = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(times, pa.int32()), pa.array(parts, pa.float64())], names=["word", "times", "part"])
-                columns = [part.column(0), part.column(2), pa.array(n), pa.array(sums(is_hot).astype(np.int64)), pa.array(sums(base)), pa.array(sums(logs)), pa.ListArray.from_arrays(offsets, rare)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n", "known", "base", "model", "rare"])
-
-    schema = "doc_id long, held_out boolean, n long, known long, base double, model double, rare array<struct<word:binary,times:int,part:double>>"
-    # Rows, not documents, are numbered: keys may repeat.
-    scored = common.written(own.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.part")
+        ends_of = np.log10(v.end_weight)
+        for part in parts_of(batches, 5):
+            n, found = lists_of(part.column(5))
+            logs = forks.logs(n, found, *context_of(n, found, v)) * ten
+            logs -= np.where(found >= 0, 0.0, ends_of[(-1 - found) % ENDS])
+            sums = np.bincount(np.repeat(np.arange(len(n)), n), weights=logs, minlength=len(n))
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sums), part.column(6)], names=["doc_id", "held_out", "n", "known", "base", "model", "row"])
+
+    scored = runs.select("doc_id", "held_out", "n", "known", "base", "ids", "row").mapInArrow(run, "doc_id long, held_out boolean, n long, known long, base double, model double, row long")
+    rare = runs.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times", "r.part")
     joined = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     extra = joined.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("k"),
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("b"),
-        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c").cast("double")), F.col("part"))).alias("m"),
+        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c").cast("double")), F.col("part").cast("double"))).alias("m"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare").join(extra, "row", "left").select(
+    return scored.join(extra, "row", "left").select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + zero("k")).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b") - F.col("n") * float(np.log10(v.tokens + v.types + 1))).alias("base_score"), (F.col("model") + zero("m")).alias("score"),
     )

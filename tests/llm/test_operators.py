@@ -111,14 +111,14 @@ def test_language_model_is_a_distribution(spark):
     docs = spark.createDataFrame(texts, SCHEMA)
     counts = maxent.word_counts(docs.select(F.col("text").cast("binary").alias("text"), F.col("lang").alias("grp")))
     v = maxent.vocabulary(counts, hot=6)
-    lookup = v.lookup()
+    places = v.places()
     w = np.random.default_rng(1).normal(size=(maxent.HASHED, v.classes)).astype("float32")
     shares = np.exp(maxent.log_shares(np.array([5]), w))[0]
     tiers, total = (v.classes - 1) // len(v.unseen), 0.0
     used = set()
     for r in counts.collect():
-        at = lookup[bytes(r["word"])]
-        c = v.hot_class[at] if at >= 0 else (-1 - at) * tiers + tiers - 1
+        at = places[bytes(r["word"])]
+        c = v.hot_class[at] if at >= 0 else v.ends[(-1 - at) % maxent.ENDS] * tiers + tiers - 1
         used.add(int(c))
         total += shares[c] * r["n"] / 10 ** v.class_weight[c]
     for g, x in enumerate(v.unseen):
@@ -137,6 +137,34 @@ def test_language_model_sees_the_order_of_words(spark):
     assert got[1000] < got[0] - 1
 
 
+def test_language_model_learns_from_known_words(spark):
+    """On held-out texts of known words alone, the trained model beats the counts of words and the model of classes."""
+    rng = random.Random(6)
+    after = {f"k{i}": [f"k{rng.randrange(300)}" for _ in range(3)] for i in range(300)}
+
+    def text():
+        words = [f"k{rng.randrange(300)}"]
+        while len(words) < 60:
+            words.append(rng.choice(after[words[-1]]))
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(), "x", "s", 0) for i in range(700)], SCHEMA)
+    total = lambda passes: maxent.score(docs, passes=passes).filter("held_out AND n_known = n_tokens").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    trained, classes = total(1), total(0)
+    assert trained[2] > 5000 and trained[0] > trained[1] + 0.15 * trained[2] and trained[0] > classes[0] + 0.15 * trained[2]
+
+
+def test_slices_of_lists_are_whole():
+    import pyarrow as pa
+
+    lists = [[1] * n for n in (0, 3, 9, 0, 2, 30, 1, 0)]
+    batch = pa.record_batch([pa.array(lists, pa.list_(pa.int32()))], names=["ids"])
+    for most in (1, 3, 5, 100):
+        assert [x for part in maxent.parts_of(iter([batch]), 0) for x in part.column(0).to_pylist()] == lists
+        got = [maxent.lists_of(part.column(0)) for part in maxent.parts_of(iter([batch]), 0, most)]
+        assert [n for ns, _ in got for n in ns.tolist()] == [len(x) for x in lists] and all(ns.sum() == len(f) and (len(ns) == 1 or ns.sum() <= most) for ns, f in got)
+
+
 def test_language_model_trees_are_a_distribution(spark):
     """With any weights, the shares of all leaves behind one word sum to 1, where no class is empty."""
     import numpy as np
