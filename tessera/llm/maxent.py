@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | before) = P(class | before) * P(word | class, before). Both factors see the words before, themselves: hashed
-features of one and two words before (n-grams) and of the second before alone (skip).
+features of one and two words before (n-grams), the second factor also of the second before alone (skip).
 
 The first factor starts from a log-linear model over hashed features of the classes before: bias, one before, two before,
 and the second and third before alone. It is trained by distributed gradient steps on counts of (three classes before,
@@ -48,8 +48,10 @@ from tessera.llm import common
 HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 12, 0.4
 #: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
 SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 1, 0.7, 3.0, 1 << 15
-#: Slots that are summed together, and the parts of one that gradients are rounded to.
-BLOCK, PARTS = 1 << 16, 1 << 5
+#: Slots that are summed together, the parts of one that gradients are rounded to, words after which a worker's sums are taken over.
+BLOCK, PARTS, SAFE = 1 << 16, 1 << 8, 1 << 21
+#: The most that a weight comes to, so that the odds of a fork are finite.
+HIGHEST = 16.0
 #: The end of a text; no word holds white space.
 END = b"\n"
 #: Words that a worker counts before it passes their counts on.
@@ -375,8 +377,9 @@ class Forks:
         place = np.concatenate([[0.0], np.cumsum(np.concatenate([v.hot_count, v.end_weight])[self.order()] + 1e-9)])
         a, m, b = v.word_tree.bounds.T
         start = (np.log(place[b] - place[m]) - np.log(place[m] - place[a])).astype(np.float32)
-        # For either tree: where each leaf's way starts; of each fork on it the key, the way, and what the odds start from (of classes: the fork, as it depends on the context).
-        told = lambda tree, odds: (tree.starts.astype(np.int32), tree.keys[tree.forks], tree.right, odds)
+        # For either tree: where each leaf's way starts; of each fork on it, in one number, the key with the way as its last
+        # bit, and what the odds start from (of classes: the fork, as they depend on the context).
+        told = lambda tree, odds: (tree.starts.astype(np.int32), (tree.keys[tree.forks] >> np.uint32(1) << np.uint32(1) | tree.right).astype(np.uint64) << np.uint64(32) | odds.view(np.uint32))
         self.ways = told(v.class_tree, v.class_tree.forks), told(v.word_tree, start[v.word_tree.forks])
 
     def order(self) -> np.ndarray:
@@ -392,7 +395,7 @@ class Forks:
         return (np.log(np.maximum(summed[:, b] - summed[:, m], 1e-12)) - np.log(np.maximum(summed[:, m] - summed[:, a], 1e-12))).astype(np.float32)
 
     def parts(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For consecutive parts of the words, and in each for either tree: from, to; of each fork on their ways: the word, the way, ln odds; its slots, an array for each feature."""
+        """For consecutive parts of the words, and in each for either tree: from, to; of each fork on their ways: the word, the way (1 to the second part), ln odds; its slots, an array for each feature."""
         v, hot = self.v, len(self.v.hot_class)
         place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         leaf = np.where(found >= 0, found, hot + (-1 - found) % ENDS)
@@ -407,31 +410,36 @@ class Forks:
         told = [(h >> np.uint64(32)).astype(np.uint32) for h in told]
         distinct, at = np.unique(context, return_inverse=True)
         class_starts = self.class_start(distinct)
+        at = (at * class_starts.shape[1]).astype(np.int32)
         for a in range(0, len(of), HELD):
             b = min(len(of), a + HELD)
-            for (starts, keys, right, odds), leaves in ((self.ways[0], of[a:b]), (self.ways[1], leaf[a:b])):
+            for (starts, forks), leaves in zip(self.ways, (of[a:b], leaf[a:b]), strict=True):
                 first = starts[leaves]
                 size = starts[leaves + 1] - first
                 own = np.repeat(np.arange(b - a, dtype=np.int32), size)
                 way = np.arange(len(own), dtype=np.int32)
                 way += np.repeat(first - (np.cumsum(size, dtype=np.int32) - size), size)
-                key = keys[way]
-                x = class_starts[at[a:b][own], odds[way]] if odds.dtype == np.int32 else odds[way]
+                both = forks.take(way).view(np.uint32).reshape(-1, 2)  # of a little-endian machine, as Arrow's are
+                odds, key = both[:, 0].copy(), both[:, 1].copy()
+                right = key & np.uint32(1)
+                key ^= right  # the slot of a fork must not tell the way
+                x = class_starts.take(at[a:b].take(own) + odds.view(np.int32)) if forks is self.ways[0][1] else odds.view(np.float32)
                 slots = []
-                for h in told:
+                # The start of the class factor has skips of classes, so the skip of words serves the word factor alone.
+                for h in told[:2] if forks is self.ways[0][1] else told:
                     slot = np.repeat(h[a:b], size)
                     slot ^= key
                     slot *= np.uint32(0x9E3779B1)
                     slot >>= self.shift
-                    x += self.slots[slot.view(np.int32)]
+                    x += self.slots.take(slot.view(np.int32))
                     slots.append(slot.view(np.int32))
-                yield a, b, own, right[way], np.clip(x, -30, 30, out=x), slots
+                yield a, b, own, right.astype(np.float32), x, slots
 
     def logs(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> np.ndarray:
         """ln of the share of each word, or for other words of their end."""
         out = np.zeros(len(of))
         for a, b, own, way, x, _ in self.parts(n, found, of, context):
-            out[a:b] -= np.bincount(own, weights=np.log1p(np.exp(np.where(way, -x, x))), minlength=b - a)
+            out[a:b] -= np.bincount(own, weights=np.log(1 + np.exp(x * (1 - 2 * way))), minlength=b - a)
         return out
 
 
@@ -454,19 +462,34 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             v, forks = shared.value, Forks(shared.value, model.value, given.value)
-            sums = np.zeros(size, dtype=np.complex64)  # what was seen less what was expected, and the variance, side by side in memory
+            # What was seen less what was expected in the upper half of a number, and the variance in the lower one, both in
+            # integers. Neither half can overflow before the sums are taken over.
+            sums, taken, total = np.zeros(size, dtype=np.int64), 0, None
+
+            def halves() -> np.ndarray:
+                low = sums & 0xFFFFFFFF
+                out = np.stack([(sums - low) >> 32, low])
+                sums[:] = 0
+                return out if total is None else total + out
+
             for part in parts_of(batches, 0):
                 n, found = lists_of(part.column(0))
-                for _, _, _, way, x, at in forks.parts(n, found, *context_of(n, found, v)):
+                for a, b, _, way, x, at in forks.parts(n, found, *context_of(n, found, v)):
+                    if taken > SAFE:
+                        total, taken = halves(), 0
+                    taken += b - a
                     p = 1 / (1 + np.exp(-x))
-                    both = np.empty(len(p), dtype=np.complex64)
-                    both.real, both.imag = way - p, p * (1 - p)
+                    both = np.empty((len(p), 2), dtype=np.int32)  # of a little-endian machine
+                    both[:, 0] = p * (1 - p) * PARTS + 0.5
+                    both[:, 1] = np.rint((way - p) * PARTS)
+                    both = both.view(np.int64).ravel()
                     for slot in at:
                         np.add.at(sums, slot, both)
+            total = halves()
             for block in range(-(-size // BLOCK)):
-                own = sums[block * BLOCK : (block + 1) * BLOCK]
+                own = total[:, block * BLOCK : (block + 1) * BLOCK]
                 if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(np.rint(np.stack([own.real, own.imag]) * PARTS).astype(np.int64))], pa.binary())], names=["block", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(np.ascontiguousarray(own))], pa.binary())], names=["block", "sums"])
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -483,6 +506,7 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
         for r in found.toLocalIterator():
             own = slots[r["block"] * BLOCK : (r["block"] + 1) * BLOCK]
             own += np.frombuffer(bytes(r["step"]), dtype=np.float32)
+            np.clip(own, -HIGHEST, HIGHEST, out=own)
         given.destroy()
     return slots
 
