@@ -7,10 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.errors import SourceError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share, as the session names it; only a session in one process may leave it open."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise SourceError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def remove(spark: SparkSession, path: str) -> None:
