@@ -16,6 +16,28 @@ INTENTS = {
     "Conceptual": [r"\b(is defined as|refers to|means|concept|theory|principle)\b", r"\b(because|therefore|thus|however|although|in order to)\b", r"\b(importance|significance|role|impact|effect|relationship)\b"],
 }
 
+#: Labels of a named-entity model and the types that they stand for; others are left out: fixed values.
+NER_TYPES = {"ORG": "organization", "GPE": "region", "LOC": "region", "PRODUCT": "technology", "QUANTITY": "metric", "PERCENT": "metric"}
+#: Patterns of the entities that the agent looks for: fixed values.
+AGENT_PATTERNS = [
+    "drip irrigation|sprinkler irrigation|flood irrigation|micro-irrigation",
+    "soil moisture|water use efficiency|evapotranspiration|crop coefficient",
+    "wheat|maize|corn|tomato|citrus|olive|almond|cotton",
+    "IoT|precision agriculture|remote sensing|GPS|sensor",
+]
+
+
+def model_mentions(found: DataFrame) -> DataFrame:
+    """(doc_id, type, entity, start, end) from a model's (doc_id, label, text, start, end): labels become types, unknown ones go, entities are in lower case."""
+    types = F.create_map(*(F.lit(x) for pair in NER_TYPES.items() for x in pair))
+    return found.select("doc_id", F.element_at(types, F.col("label")).alias("type"), F.lower("text").alias("entity"), "start", "end").filter("type IS NOT NULL")
+
+
+def agent_entities(column: Column, patterns: list[str] | None = None) -> Column:
+    """The sorted distinct matches of the patterns, in lower case."""
+    found = [F.regexp_extract_all(column, F.lit(f"(?i){LEFT}(?:{p}){RIGHT}"), F.lit(0)) for p in (AGENT_PATTERNS if patterns is None else patterns)]
+    return F.array_sort(F.array_distinct(F.transform(F.concat(*found), F.lower)))
+
 
 def lexicon_terms(lexicon: DataFrame, label: str = "label", most: int = 100_000) -> list[tuple[str, str, int]]:
     """(label, term, ordinal) of a lexicon, which is small by what it is; larger ones are refused."""

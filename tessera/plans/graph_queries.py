@@ -152,7 +152,7 @@ def order_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     SELECT entity, round(rank, 6)::DOUBLE AS rank FROM ranks WHERE i = 20"""
 )
 def pagerank_20(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(_order_edges(spark, d)).select("entity", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(_order_edges(spark, d), rounds=20, tolerance=None).select("entity", F.round("rank", 6).alias("rank"))
 
 
 @query(

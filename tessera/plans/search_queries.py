@@ -39,9 +39,7 @@ def _lexical(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 
 def _semantic(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    own = vector_search.hashed_embedding(table(spark, d, "documents"))
-    asked = vector_search.hashed_embedding(_items(spark, d), key="query_id")
-    return lexical.top(vector_search.sparse_scores(asked, own), k, positive=False).select("query_id", "doc_id", "score", "rank")
+    return vector_search.hashed_nearest(_items(spark, d), table(spark, d, "documents"), k).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {OKAPI} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM terms")
