@@ -46,3 +46,32 @@ def metadata(columns: dict[str, Column]) -> Column:
     """A flat map of strings for a store that knows no nesting: arrays and structs as JSON, null as an absent key."""
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in columns.items()))
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def semantic_overview(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, their distinct sources, basins and regions (sorted), mean length and tokens (one digit, half to even), and the number of each intent."""
+    known = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias(c)
+    intents = chunks.groupBy("intent").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("intent", "n")))).alias("intents"))
+    whole = chunks.agg(F.count("*").alias("n_chunks"), known("source").alias("sources"), known("basin").alias("basins"), known("region").alias("regions"), F.bround(F.avg(F.length("content")), 1).alias("mean_chars"), F.bround(F.avg(F.floor(F.length("content") / 4)), 1).alias("mean_tokens"))
+    return whole.join(F.broadcast(intents), how="cross")  # one row each
+
+
+def as_dict(columns: list[str]) -> Column:
+    """All fields of a row as JSON, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def as_schema(chunks: DataFrame) -> DataFrame:
+    """Chunks in the exchanged form: id, headers, content, intent, at most five keywords, place in the hierarchy, sentences; fields that the chunks lack are null."""
+    have = set(chunks.columns)
+    field = lambda name, kind="string": F.col(name) if name in have else F.lit(None).cast(kind).alias(name)
+    keywords = F.slice(field("semantic_keywords", "array<string>"), 1, 5).alias("semantic_keywords")
+    return chunks.select(
+        field("id", "long"), field("context_summary"), field("contextual_header"), field("content"), field("content_with_header"), field("intent").alias("intent_category"),
+        keywords, field("level"), field("parent_id"), field("children_ids", "array<string>"), field("sentences", "array<string>"),
+    )
+
+
+def metrics_line(**values: Column) -> Column:
+    """Measures as one line of `name: value`, three digits each, in the order given."""
+    return F.concat_ws(" | ", *(F.concat(F.lit(f"{k}: "), F.format_number(v, 3)) for k, v in values.items()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import graph, sentences, tagging
 from tessera.plans.registry import LEXICON, SENTENCES, TOKENS, query, table
+from tessera.scratch import written
 
 MENTIONS = LEXICON + rf""", mt AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS p FROM (SELECT doc_id, {TOKENS} AS t FROM documents)),
     mentions AS (SELECT doc_id, l.label AS type, term AS entity, min(p)::BIGINT AS start FROM mt JOIN lexicon l USING (term) GROUP BY 1, 2, 3)"""
@@ -17,8 +18,9 @@ NODES = "nodes AS (SELECT entity, count(*)::BIGINT AS frequency, count(DISTINCT
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Written once, as queries use them several times."""
     docs = table(spark, d, "documents")
-    return tagging.mentions(docs, tagging.data_lexicon(docs))
+    return written(tagging.mentions(docs, tagging.data_lexicon(docs)), "mentions")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -115,14 +117,14 @@ def hub_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {EDGES}, names AS (SELECT DISTINCT a AS entity FROM around), pairs AS (SELECT x.entity AS a, y.entity AS b FROM names x, names y WHERE x.entity < y.entity),
-    walk(a, here, n) AS (SELECT entity, entity, 0 FROM names UNION SELECT w.a, r.b, w.n + 1 FROM walk w JOIN around r ON w.here = r.a WHERE w.n < 4), best AS (SELECT a, here AS b, min(n) AS n FROM walk GROUP BY 1, 2)
+    walk(a, here, n) AS (SELECT entity, entity, 0 FROM names UNION SELECT w.a, r.b, w.n + 1 FROM walk w JOIN around r ON w.here = r.a WHERE w.n < 40), best AS (SELECT a, here AS b, min(n) AS n FROM walk GROUP BY 1, 2)
     SELECT p.a, p.b, coalesce(best.n, -1)::BIGINT AS length FROM pairs p LEFT JOIN best USING (a, b)"""
 )
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
     names = graph.both_ways(e).select("a").distinct()
     pairs = names.join(names.select(F.col("a").alias("b")), F.col("a") < F.col("b"))  # of the lexicon's forty names
-    return graph.shortest_paths(e, pairs, 4).select("a", "b", "length")
+    return graph.shortest_paths(e, pairs).select("a", "b", "length")
 
 
 #: Brands of an order's parts as entities, types as types: a dense graph at scale.
@@ -155,6 +157,79 @@ def pagerank_20(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(_order_edges(spark, d), rounds=20, tolerance=None).select("entity", F.round("rank", 6).alias("rank"))
 
 
+@query(
+    f"""WITH RECURSIVE {ORDER_EDGES}, w AS (SELECT src, dst, count(*)::DOUBLE AS w FROM oe GROUP BY 1, 2), s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w),
+    n AS (SELECT DISTINCT entity FROM (SELECT src AS entity FROM w UNION ALL SELECT dst FROM w)), c AS (SELECT count(*)::DOUBLE AS n FROM n), feeds AS (SELECT DISTINCT src FROM s),
+    ranks(i, entity, rank) AS (SELECT 0, entity, 1 / c.n FROM n, c UNION ALL
+        SELECT any_value(i) + 1, entity, 0.15 / any_value(cn) + 0.85 * (sum(flow) + any_value(loose) / any_value(cn)) FROM (
+            SELECT r.i, n.entity, c.n AS cn, CASE WHEN s.dst = n.entity THEN r.rank * s.share ELSE 0 END AS flow, (SELECT coalesce(sum(q.rank), 0) FROM ranks q WHERE q.entity NOT IN (SELECT src FROM feeds)) AS loose
+            FROM n, c, ranks r LEFT JOIN s ON s.src = r.entity WHERE r.i < 60) GROUP BY entity),
+    bag AS (SELECT entity, count(*) AS n FROM (SELECT src AS entity FROM oe UNION ALL SELECT dst FROM oe) GROUP BY 1)
+    SELECT entity, round(rank, 4)::DOUBLE AS pagerank, bag.n::BIGINT AS connections FROM ranks JOIN bag USING (entity) WHERE i = 60"""
+)
+def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    e = written(_order_edges(spark, d), "order_edges")
+    kinds = e.select(F.col("src").alias("entity")).distinct().select("entity", F.lit("brand").alias("type"), F.lit(0).cast("long").alias("frequency"))
+    best = graph.most_central(graph.pagerank(e, tolerance=1e-9), e, kinds, k=1000)
+    return best.select("entity", F.round("pagerank", 4).alias("pagerank"), "connections")
+
+
+@query(
+    f"""WITH {EDGES}, {NODES} SELECT 'total' AS part, 'nodes' AS name, count(*)::BIGINT AS n FROM nodes UNION ALL SELECT 'total', 'edges', count(*) FROM edges UNION ALL SELECT 'type', type, count(*) FROM nodes GROUP BY 2
+    UNION ALL SELECT * FROM (SELECT 'frequent', entity, frequency FROM nodes ORDER BY frequency DESC, entity LIMIT 20)"""
+)
+def graph_overview(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentions(spark, d)
+    return graph.overview(graph.nodes(m), graph.cooccurrences(m), m)
+
+
+@query(
+    f"""WITH {EDGES}, {TRAVERSED.replace("starts AS", "starts AS MATERIALIZED")}, p1 AS (SELECT start, start AS entity, [start] AS path FROM starts), p2 AS (SELECT start, entity, [start, entity] AS path FROM l1),
+    p3 AS (SELECT l1.start, r.b AS entity, min([l1.start, l1.entity, r.b]) AS path FROM l1 JOIN around r ON l1.entity = r.a GROUP BY 1, 2),
+    u AS (SELECT start, entity, path, row_number() OVER (PARTITION BY start, entity ORDER BY len(path)) AS k FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3))
+    SELECT t.start, t.entity, t.depth::INTEGER AS depth, array_to_string(u.path, '>') AS path FROM t JOIN u ON t.start = u.start AND t.entity = u.entity AND u.k = 1 WHERE r <= 20"""
+)
+def bfs_paths(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    return graph.traverse(e, _starts(e), paths=True).select("start", "entity", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES}, names AS (SELECT DISTINCT a AS entity FROM around), pick AS (SELECT entity FROM names ORDER BY entity LIMIT 3), pairs AS (SELECT x.entity AS a, y.entity AS b FROM pick x, pick y WHERE x.entity < y.entity),
+    walk(a, here, n) AS (SELECT entity, entity, 0 FROM pick UNION SELECT w.a, r.b, w.n + 1 FROM walk w JOIN around r ON w.here = r.a WHERE w.n < 40), best AS (SELECT a, here AS b, min(n) AS n FROM walk GROUP BY 1, 2)
+    SELECT p.a, p.b, coalesce(best.n, -1)::BIGINT AS length, greatest(coalesce(best.n, -1) - 1, -1)::INTEGER AS n_between FROM pairs p LEFT JOIN best USING (a, b)"""
+)
+def multi_hop_paths(spark: SparkSession, d: str) -> DataFrame:
+    e = written(_edges(spark, d), "edges")
+    names = graph.both_ways(e).select(F.col("a").alias("entity")).distinct().orderBy("entity").limit(3)  # a question of three names
+    paths, _ = graph.multi_hop(e, names)
+    between = F.when(F.col("length") < 0, -1).otherwise(F.coalesce(F.size(F.coalesce("between", F.array().cast("array<string>"))), F.lit(0)))
+    return paths.select("a", "b", "length", between.cast("int").alias("n_between"))
+
+
+@query(
+    r"""WITH a AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'z', 'g') AS t FROM documents),
+    f AS (SELECT doc_id, list_concat(regexp_extract_all(lower(t), '\b(?:gnu|apache|mit|cc)\b'), regexp_extract_all(lower(t), '\b(?:license|rights reserved)\b')) AS f FROM a)
+    SELECT doc_id, array_to_string(list_sort(list_distinct(f)), ',') AS entities FROM f WHERE len(f) > 0"""
+)
+def agent_entities(spark: SparkSession, d: str) -> DataFrame:
+    found = tagging.agent_entities(text.text_of("text"), ["gnu|apache|mit|cc", "license|rights reserved"])
+    return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("entities")).filter("entities <> ''")
+
+
+LABELS = ["ORG", "DATE", "GPE", "LOC", "PRODUCT", "QUANTITY", "PERCENT"]
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, ({LABELS!r})[(doc_id % 7 + 1)::INT] AS label, substr(text, 1, 12) AS t FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN label = 'ORG' THEN 'organization' WHEN label IN ('GPE', 'LOC') THEN 'region' WHEN label = 'PRODUCT' THEN 'technology' ELSE 'metric' END AS type, lower(t) AS entity, 0 AS start, length(t)::INTEGER AS "end" FROM f WHERE label <> 'DATE'"""
+)
+def model_mentions(spark: SparkSession, d: str) -> DataFrame:
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    found = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", label.alias("label"), F.substring("text", 1, 12).alias("text"), F.lit(0).alias("start")).withColumn("end", F.length("text"))
+    return tagging.model_mentions(found)
+
+
 @query(
     f"""WITH {EDGES}, {NODES}, asked AS (SELECT doc_id AS query_id, entity, start AS ordinal FROM mentions), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ordinal, entity) AS r FROM asked),
     rel AS (SELECT a AS entity, array_to_string(list_sort(list(b))[1:5], ', ') AS rel FROM around GROUP BY 1)

@@ -241,7 +241,14 @@ def recursive_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.recursive_split(table(spark, d, "documents"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {SLIDING}, w AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS i FROM kept),
+    b(doc_id, i, content) AS (SELECT doc_id, i, content FROM w WHERE i = 0 UNION ALL
+        SELECT doc_id, i, CASE WHEN length(bridge) > 0 THEN bridge || ' ' || content ELSE content END FROM (
+            SELECT doc_id, i, content, trim(CASE WHEN instr(tail, '. ') > 1 THEN substr(tail, instr(tail, '. ') + 2) ELSE tail END, ' ') AS bridge FROM (
+                SELECT w.doc_id, w.i, w.content, CASE WHEN floor(length(b.content) * 0.1) > 0 THEN right(b.content, floor(length(b.content) * 0.1)::INT) ELSE '' END AS tail FROM b JOIN w ON w.doc_id = b.doc_id AND w.i = b.i + 1)))
+    SELECT doc_id, i::INTEGER AS chunk_index, content FROM b"""
+)
 def bridged_chunks(spark: SparkSession, d: str) -> DataFrame:
     w = chunking.sliding_windows(table(spark, d, "documents")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "content"))), lambda x: x["content"]).alias("c"))
     return w.select("doc_id", F.posexplode(chunking.bridged(F.col("c"))).alias("chunk_index", "content"))

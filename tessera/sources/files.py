@@ -65,6 +65,47 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
+def write_semantic(chunks: DataFrame, path: str) -> None:
+    """Semantic chunks as JSON lines in the exchanged form (schema), with all fields (all), and a summary of one row; chunks have (id, source, basin, region, content, intent, ...)."""
+    from tessera.operators import store
+
+    where = path.rstrip("/")
+    store.as_schema(chunks).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{where}/schema")
+    chunks.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{where}/all")
+    store.semantic_overview(chunks).write.mode("overwrite").json(f"{where}/summary")
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results of an evaluation as JSON lines, and their summary."""
+    from tessera.operators import evaluation
+
+    where = path.rstrip("/")
+    results.write.mode("overwrite").json(f"{where}/results")
+    evaluation.run_summary(results).coalesce(1).write.mode("overwrite").json(f"{where}/summary")
+
+
+def sizes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, files, bytes) of those that exist."""
+    rows, jvm = [], spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(where):
+            found = system.getContentSummary(where)
+            rows.append((path, found.getFileCount(), found.getLength()))
+    return spark.createDataFrame(rows, "path string, files long, bytes long")
+
+
+def wiped(spark: SparkSession, paths: list[str], confirm: bool = False) -> DataFrame:
+    """What stands at the paths is deleted, if confirmed; (path, files, bytes) of what was, or would be."""
+    found = spark.createDataFrame(sizes(spark, paths).collect(), "path string, files long, bytes long")
+    if confirm:
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return found
+
+
 def read_chunks(spark: SparkSession, path: str, schema: str = PAGE_CHUNK) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
