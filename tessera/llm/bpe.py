@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by overlapping chunk encoding.
 
-A text is cut into chunks that overlap; each chunk is pre-tokenised on its own, the chunks are stitched where both
-sides start a pre-token at the same place, and the pre-tokens are then encoded by rank. Decoding concatenates the raw
+A text is cut into chunks that overlap; the chunks are pre-tokenised in parallel, each on its own, and stitched where both
+sides start a pre-token at the same place, and the pre-tokens are then encoded by merging pairs in the order of their ranks. Decoding concatenates the raw
 bytes of the ids.
 
 Inputs: null and empty texts have no ids; repeated rows are encoded each; an empty table gives an empty one; only the
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from itertools import chain
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.llm import common, pretoken
 
-#: Pre-tokens whose ids a worker remembers.
-MEMO = 300_000
+#: Pre-tokens whose ids a worker remembers; threads that pre-tokenise the chunks of a text; bytes up to which a pre-token's pairs are looked through one by one.
+MEMO, THREADS, SHORT = 300_000, 2, 48
 
 
 class Ranks:
@@ -41,14 +42,59 @@ class Ranks:
         self.odd = pretoken.disagreed(lambda a, b: library.encode_ordinary(a + b)[0] > 255)
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a pre-token: over and over the pair of lowest rank is merged, of equal ones the first."""
+    own = ranks.get(piece)
+    if own is not None:
+        return [own]
+    if len(piece) > SHORT:
+        return _merged_long(piece, ranks)
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    get = ranks.get
+    pairs = [get(a + b) for a, b in zip(parts, parts[1:])]
+    while True:
+        least = min((r for r in pairs if r is not None), default=None)
+        if least is None:
+            return [ranks[x] for x in parts]
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        pairs.pop(i)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1])
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i])
+
+
+def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs and linked parts, in n log n."""
+    n = len(piece)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
+    alive = [True] * n
+
+    def pair(i: int) -> int | None:
+        return ranks.get(piece[i : end[after[i]]]) if after[i] >= 0 else None
+
+    heap = [(r, i, end[after[i]]) for i in range(n - 1) if (r := pair(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if not alive[i] or j < 0 or end[j] != stop:
+            continue  # one of its parts has been merged since
+        end[i], after[i], alive[j] = stop, after[j], False
+        if after[j] >= 0:
+            before[after[j]] = i
+        for k in (i, before[i]):
+            if k >= 0 and (r := pair(k)) is not None:
+                heapq.heappush(heap, (r, k, end[after[k]]))
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+
 class Coder:
     """Encodes and decodes in one worker."""
 
-    def __init__(self, ranks: Ranks, memo: int = MEMO, chunk: int = pretoken.CHUNK):
-        import tiktoken
-
-        self.told, self.most, self.chunk = ranks, memo, chunk
-        self.library = tiktoken.Encoding("ranks", pat_str=ranks.pattern, mergeable_ranks=ranks.ranks, special_tokens={})
+    def __init__(self, ranks: Ranks, memo: int = MEMO, chunk: int = pretoken.CHUNK, threads: int = THREADS):
+        self.told, self.most, self.chunk, self.threads = ranks, memo, chunk, threads
         self.bytes_of = {i: b for b, i in ranks.ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
         self.said: dict[str, str] = {}
@@ -57,14 +103,14 @@ class Coder:
         new = [p for p in set(pieces) if p not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known, self.said, new = {}, {}, list(set(pieces))
-        single = self.library._encode_single_piece
+        ranks = self.told.ranks
         for p in new:
-            ids = single(p.encode())
+            ids = merged(p.encode(), ranks)
             self.known[p] = tuple(ids)
             self.said[p] = ",".join(map(str, ids))
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = pretoken.stitched(text or "", self.told.pattern, self.told.odd, self.chunk)
+        pieces = pretoken.stitched(text or "", self.told.pattern, self.told.odd, self.chunk, threads=self.threads)
         self._learn(pieces)
         return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
@@ -73,7 +119,7 @@ class Coder:
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """How many ids, the digest of the ids in decimal with commas, and that of the bytes which the ids decode to."""
-        pieces = pretoken.stitched(text or "", self.told.pattern, self.told.odd, self.chunk)
+        pieces = pretoken.stitched(text or "", self.told.pattern, self.told.odd, self.chunk, threads=self.threads)
         self._learn(pieces)
         ids = list(chain.from_iterable(map(self.known.__getitem__, pieces)))
         said = ",".join(map(self.said.__getitem__, pieces))
@@ -87,8 +133,9 @@ def _shared(docs: DataFrame, path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
     """(key, ids array<int>) and the columns in `keep`, of each row; with `digest`, decoded_sha256 too, of the bytes that the ids decode to."""
     shared = _shared(docs, path, pattern)
-    rows = docs.select(*(F.col(c) for c in (key, *keep)), F.col(text).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("ids", ArrayType(IntegerType()))
+    # Columns that are kept travel in a struct, so that no name clashes.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in (key, *keep))).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = rows.select("row").schema.add("ids", ArrayType(IntegerType()))
     if digest:
         schema = schema.add("decoded_sha256", "string")
 
@@ -96,15 +143,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
         coder = Coder(shared.value)
 
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [coder.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
+            ids = [coder.encode(t) for t in part.column(1).to_pylist()]
             columns = [pa.array(ids, pa.list_(pa.int32()))]
             if digest:
                 columns.append(pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string()))
-            return pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=schema.names)
+            return pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
 
         return each
 
-    return common.mapped(rows, "__text", schema, work)
+    return common.mapped(rows, "text", schema, work).select("row.*", *schema.names[1:])
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -116,14 +163,14 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", key: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], names=[key, "bytes"])
 
-    found = rows.select(key, F.col(ids).cast("array<int>").alias("ids"))
-    return found.mapInArrow(run, found.drop("ids").schema.add("bytes", "binary"))
+    found = rows.select(F.col(f"`{key}`"), F.col(f"`{ids}`").cast("array<int>").alias("ids"))
+    return found.mapInArrow(run, rows.select(F.col(f"`{key}`")).schema.add("bytes", "binary"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text, decodes its ids, and keeps digests of both. One pass, no shuffle."""
     shared = _shared(docs, path, pattern)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def work():
         coder = Coder(shared.value)
