@@ -5,8 +5,9 @@ documents; since a window has to be contained whole, the prefix that a document
 Documents are joined to windows on that word only; the place of the word in the window and the window's length bound
 where it can stand, and the words there are compared exactly.
 
-The benchmark is broadcast in blocks of a bounded number of words, each held against all documents; one block is the
-usual case, more are merged by document.
+The benchmark is broadcast in blocks of a bounded number of words; one block is the usual case. With more, rows are
+numbered and written once, the blocks follow each other, each written before the next one is broadcast, and only the
+rows that a block hits are merged.
 
 Inputs: null and empty texts have no words and are hit by nothing; items without words, or with a null id, are no
 items; equal item texts count for each of their ids; repeated document rows are judged each; empty tables give no hits;
@@ -96,7 +97,8 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes], text: str = "text") ->
     return {bytes(r["word"]): r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def _matched(docs: DataFrame, items: list[tuple[str, bytes]], span: int, text: str, key: str, whole: bool) -> DataFrame:
+def _matched(docs: DataFrame, items: list[tuple[str, bytes]], span: int, text: str, key: str, whole: bool):
+    """The matches of each row, and the broadcast that they need."""
     windows = windows_of(items, span)
     counts = word_counts(docs, {w for window in windows for w in window}, text) if windows else {}
     shared = docs.sparkSession.sparkContext.broadcast(Matcher(windows, counts))
@@ -105,7 +107,7 @@ def _matched(docs: DataFrame, items: list[tuple[str, bytes]], span: int, text: s
         match = shared.value.match
         return lambda texts: list(zip(*map(match, texts), strict=True)) if texts else [[], [], []]
 
-    return common.annotate(docs, text, key, "n_words long, spans array<long>, items array<string>", work, whole, as_bytes=True)
+    return common.annotate(docs, text, key, "n_words long, spans array<long>, items array<string>", work, whole, as_bytes=True), shared
 
 
 def _verdict(found: DataFrame, one_in: int) -> DataFrame:
@@ -123,24 +125,27 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, one_in: int =
     # An upper bound of the words: every second byte could be one.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // (2 * block_words)))
-    parts = []
-    for b in range(blocks):
-        held = [(r["item"], r["text"].encode()) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
-        parts.append(_matched(docs, held, span, text, key, whole or blocks > 1))
+    held = lambda b: [(r["item"], r["text"].encode()) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
     if blocks == 1:
-        return _verdict(parts[0], one_in)
-    # Rows are told apart by all that they hold; equal rows get equal results, one for each of them.
-    merged = None
-    for b, part in enumerate(parts):
-        part = part.withColumn("block", F.lit(b))
-        merged = part if merged is None else merged.unionByName(part)
-    flat = merged.groupBy("row", "block").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_words", "spans", "items")))
-    grouped = flat.groupBy("row").agg(F.first("n_words").alias("n_words"), F.first("copies").alias("copies"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return _verdict(_matched(docs, held(0), span, text, key, whole)[0], one_in)
+    first = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if whole else F.col(f"`{key}`").cast("long")
+    name = "row" if whole else "doc_id"
+    rows = common.written(docs.select(F.monotonically_increasing_id().alias("no"), first.alias(name), F.col(f"`{text}`").cast("string").alias("text")), "rows")
+    lengths = hits = None
+    for b in range(blocks):
+        found, shared = _matched(rows, held(b), span, "text", "no", False)
+        found = common.written(found.filter("size(items) > 0") if lengths is not None else found, "block")
+        shared.destroy()
+        if lengths is None:
+            lengths = found.select("doc_id", "n_words")
+        part = found.filter("size(items) > 0").select(F.col("doc_id").alias("no"), "spans", "items")
+        hits = part if hits is None else hits.unionByName(part)
     union = """aggregate(array_sort(transform(sequence(0, size(s) - 1, 2), i -> struct(get(s, i) AS a, get(s, i + 1) AS b))), cast(array() AS array<bigint>),
         (acc, x) -> CASE WHEN size(acc) > 0 AND x.a <= element_at(acc, -1) THEN concat(slice(acc, 1, size(acc) - 1), array(greatest(element_at(acc, -1), x.b))) ELSE concat(acc, array(x.a, x.b)) END)"""
-    out = grouped.withColumn("spans", F.when(F.size("s") > 0, F.expr(union)).otherwise(F.col("s"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    first = F.col("row") if whole else F.col(f"row.`{key}`").cast("long").alias("doc_id")
-    return _verdict(out.select(first, "n_words", "spans", "items"), one_in)
+    merged = hits.groupBy("no").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("no", F.expr(union).alias("spans"), "items")
+    out = rows.select("no", name).join(lengths.withColumnRenamed("doc_id", "no"), "no").join(merged, "no", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return _verdict(out.select(name, "n_words", none("spans", "bigint"), none("items", "string")), one_in)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
