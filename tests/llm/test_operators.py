@@ -67,6 +67,51 @@ OPERATORS = {
 }
 
 
+#: Operators that give rows of their input again, with its columns.
+ROWS = {
+    "keep_good": lambda d: quality.keep_good(d, labels(d.sparkSession, [(5, 1, 0)])),
+    "keep_first": neardup.keep_first,
+    "keep_clean": lambda d: decontaminate.keep_clean(d, benchmark(d.sparkSession, [(1, "Same words stand here")])),
+    "keep_clean in blocks": lambda d: decontaminate.keep_clean(d, benchmark(d.sparkSession, [(i, f"Same words stand here {i}") for i in range(9)]), block_words=5),
+    "removed": repeats.removed,
+    "detect": lambda d: pii.detect(d, whole=True).select("row.*"),
+    "encode": lambda d: bpe.encode(d, MULTI, P.PATTERN, keep=tuple(c for c in d.columns if c not in ("doc_id", "ids", "text")), digest=True),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ROWS))
+def test_odd_rows_come_back(odd, none, name):
+    """Nulls, empty and long texts, repeated rows and clashing columns in the operators that hand rows on; all columns stay."""
+    odd = odd.withColumn("removed", F.lit("clash")).withColumn("__cut", F.lit("clash")).withColumn("__drop", F.lit("clash")).withColumn("id", F.lit("clash")).withColumn("cut", F.lit("clash")).withColumn("a.b", F.lit("clash"))
+    if name == "encode":
+        odd = odd.drop("decoded_sha256")
+    got = ROWS[name](odd)
+    rows = got.collect()
+    assert ROWS[name](none).count() == 0
+    assert set(odd.columns) - {"ids", "text"} <= set(got.columns)
+    ids, given = Counter(r["doc_id"] for r in rows), Counter(r[0] for r in ODD_ROWS)
+    want = {
+        "keep_good": Counter({5: 1, 6: 1}), "keep_first": given - Counter({6: 1}), "keep_clean": given - Counter({5: 1, 6: 1}),
+    }.get(name, given)
+    if name == "keep_good":
+        assert set(ids) <= set(given) and ids[0] == 0 and ids[1] == 0 and ids[5] == 1
+    else:
+        assert ids == want
+    assert all(r["score"] == "clash" for r in rows)
+
+
+def test_own_merging_equals_the_library():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(15)
+    pieces = ["".join(rng.choice("abcdeinorst éß1 ") for _ in range(rng.randrange(1, 200))) for _ in range(3000)] + ["x" * 40_000, " " * 40_000, "ab" * 20_000]
+    for p in pieces:
+        assert bpe.merged(p.encode(), ranks) == library._encode_single_piece(p.encode())
+        assert len(p) > 2000 or ranks.get(p.encode()) is not None or bpe._merged_long(p.encode(), ranks) == bpe.merged(p.encode(), ranks)
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_odd_rows(odd, name):
     """Nulls, empty and long texts, repeated rows, clashing columns: a row for each row (for repeats: of repeated units only)."""
