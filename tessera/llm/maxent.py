@@ -47,9 +47,9 @@ from tessera.llm import common
 #: Words known on every worker, groups, tiers of hot words in a group, buckets of word ends, hashed features, gradient steps, their length.
 HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 12, 0.4
 #: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
-SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 1, 0.7, 3.0, 1 << 15
+SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 21, 1, 0.7, 3.0, 1 << 15
 #: Slots that are summed together, the parts of one that gradients are rounded to, words after which a worker's sums are taken over.
-BLOCK, PARTS, SAFE = 1 << 16, 1 << 8, 1 << 21
+BLOCK, PARTS, SAFE = 1 << 16, 1 << 8, 1 << 22
 #: The most that a weight comes to, so that the odds of a fork are finite.
 HIGHEST = 16.0
 #: The end of a text; no word holds white space.
@@ -248,7 +248,7 @@ def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(column.offsets.to_numpy()).astype(np.int64), column.flatten().to_numpy().astype(np.int64)
 
 
-def parts_of(batches: Iterator[pa.RecordBatch], ids: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def parts_of(batches: Iterator[pa.RecordBatch], ids: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most that many numbers in the lists of a column, or one row."""
     for batch in batches:
         offsets = batch.column(ids).offsets.to_numpy()
@@ -466,17 +466,19 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
             # integers. Neither half can overflow before the sums are taken over.
             sums, taken, total = np.zeros(size, dtype=np.int64), 0, None
 
-            def halves() -> np.ndarray:
-                low = sums & 0xFFFFFFFF
-                out = np.stack([(sums - low) >> 32, low])
-                sums[:] = 0
-                return out if total is None else total + out
+            def halves(start: int) -> np.ndarray:
+                """Both sums of a block of slots."""
+                own = sums[start : start + BLOCK]
+                low = own & 0xFFFFFFFF
+                out = np.stack([(own - low) >> 32, low])
+                return out if total is None else out + total[:, start : start + BLOCK]
 
             for part in parts_of(batches, 0):
                 n, found = lists_of(part.column(0))
                 for a, b, _, way, x, at in forks.parts(n, found, *context_of(n, found, v)):
                     if taken > SAFE:
-                        total, taken = halves(), 0
+                        total = np.concatenate([halves(start) for start in range(0, size, BLOCK)], axis=1)
+                        sums[:], taken = 0, 0
                     taken += b - a
                     p = 1 / (1 + np.exp(-x))
                     both = np.empty((len(p), 2), dtype=np.int32)  # of a little-endian machine
@@ -485,11 +487,10 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
                     both = both.view(np.int64).ravel()
                     for slot in at:
                         np.add.at(sums, slot, both)
-            total = halves()
-            for block in range(-(-size // BLOCK)):
-                own = total[:, block * BLOCK : (block + 1) * BLOCK]
+            for start in range(0, size, BLOCK):
+                own = halves(start)
                 if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(np.ascontiguousarray(own))], pa.binary())], names=["block", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([start // BLOCK], pa.int32()), pa.array([packed(own)], pa.binary())], names=["block", "sums"])
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
