@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | before) = P(class | before) * P(word | class, before). Both factors see the words before, themselves: hashed
-features of one and two words before (n-grams), the second factor also of the second before alone (skip).
+features of one and two words before (n-grams) and of the second and the third before alone (skips).
 
 The first factor starts from a log-linear model over hashed features of the classes before: bias, one before, two before,
 and the second and third before alone. It is trained by distributed gradient steps on counts of (three classes before,
@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 #: Words known on every worker, groups, tiers of hot words in a group, buckets of word ends, hashed features, gradient steps, their length.
-HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 12, 0.4
+HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 24, 0.4
 #: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
-SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 21, 1, 0.7, 3.0, 1 << 15
+SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 15
 #: Slots that are summed together, the parts of one that gradients are rounded to, words after which a worker's sums are taken over.
 BLOCK, PARTS, SAFE = 1 << 16, 1 << 8, 1 << 22
 #: The most that a weight comes to, so that the odds of a fork are finite.
@@ -401,12 +401,12 @@ class Forks:
         leaf = np.where(found >= 0, found, hot + (-1 - found) % ENDS)
         word = mixed(found.astype(np.uint64))
         back = []
-        for k in (1, 2):
+        for k in (1, 2, 3):
             shifted = np.zeros(len(word), dtype=np.uint64)
             shifted[k:] = word[:-k] if k < len(word) else word[:0]
             back.append(np.where(place >= k, shifted, np.uint64(k)))
         with np.errstate(over="ignore"):
-            told = [mixed(back[0]), mixed(back[0] * np.uint64(3) + mixed(back[1])), mixed(back[1] + np.uint64(5))]
+            told = [mixed(back[0]), mixed(back[0] * np.uint64(3) + mixed(back[1])), mixed(back[1] + np.uint64(5)), mixed(back[2] + np.uint64(7))]
         told = [(h >> np.uint64(32)).astype(np.uint32) for h in told]
         distinct, at = np.unique(context, return_inverse=True)
         class_starts = self.class_start(distinct)
@@ -425,8 +425,7 @@ class Forks:
                 key ^= right  # the slot of a fork must not tell the way
                 x = class_starts.take(at[a:b].take(own) + odds.view(np.int32)) if forks is self.ways[0][1] else odds.view(np.float32)
                 slots = []
-                # The start of the class factor has skips of classes, so the skip of words serves the word factor alone.
-                for h in told[:2] if forks is self.ways[0][1] else told:
+                for h in told:
                     slot = np.repeat(h[a:b], size)
                     slot ^= key
                     slot *= np.uint32(0x9E3779B1)
