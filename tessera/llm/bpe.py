@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from itertools import chain
 
 import pyarrow as pa
@@ -23,8 +22,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.llm import common, pretoken
 
-#: Pre-tokens whose ids a worker remembers; threads that pre-tokenise the chunks of a text; bytes up to which a pre-token's pairs are looked through one by one.
-MEMO, THREADS, SHORT = 300_000, 2, 48
+#: Pre-tokens whose ids a worker remembers; threads that pre-tokenise the chunks of a text.
+MEMO, THREADS = 300_000, 2
 
 
 class Ranks:
@@ -42,59 +41,15 @@ class Ranks:
         self.odd = pretoken.disagreed(lambda a, b: library.encode_ordinary(a + b)[0] > 255)
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a pre-token: over and over the pair of lowest rank is merged, of equal ones the first."""
-    own = ranks.get(piece)
-    if own is not None:
-        return [own]
-    if len(piece) > SHORT:
-        return _merged_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    get = ranks.get
-    pairs = [get(a + b) for a, b in zip(parts, parts[1:])]
-    while True:
-        least = min((r for r in pairs if r is not None), default=None)
-        if least is None:
-            return [ranks[x] for x in parts]
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        pairs.pop(i)
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1])
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i])
-
-
-def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same with a heap of pairs and linked parts, in n log n."""
-    n = len(piece)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
-    alive = [True] * n
-
-    def pair(i: int) -> int | None:
-        return ranks.get(piece[i : end[after[i]]]) if after[i] >= 0 else None
-
-    heap = [(r, i, end[after[i]]) for i in range(n - 1) if (r := pair(i)) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j < 0 or end[j] != stop:
-            continue  # one of its parts has been merged since
-        end[i], after[i], alive[j] = stop, after[j], False
-        if after[j] >= 0:
-            before[after[j]] = i
-        for k in (i, before[i]):
-            if k >= 0 and (r := pair(k)) is not None:
-                heapq.heappush(heap, (r, k, end[after[k]]))
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
-
 class Coder:
     """Encodes and decodes in one worker."""
 
     def __init__(self, ranks: Ranks, memo: int = MEMO, chunk: int = pretoken.CHUNK, threads: int = THREADS):
+        import tiktoken
+
         self.told, self.most, self.chunk, self.threads = ranks, memo, chunk, threads
+        # Its pattern takes whatever it is given as one piece, so it merges the pre-tokens that were found here.
+        self.library = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=ranks.ranks, special_tokens={})
         self.bytes_of = {i: b for b, i in ranks.ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
         self.said: dict[str, str] = {}
@@ -103,9 +58,9 @@ class Coder:
         new = [p for p in set(pieces) if p not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known, self.said, new = {}, {}, list(set(pieces))
-        ranks = self.told.ranks
+        single = self.library.encode_ordinary
         for p in new:
-            ids = merged(p.encode(), ranks)
+            ids = single(p)
             self.known[p] = tuple(ids)
             self.said[p] = ",".join(map(str, ids))
 

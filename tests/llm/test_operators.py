@@ -100,18 +100,6 @@ def test_odd_rows_come_back(odd, none, name):
     assert all(r["score"] == "clash" for r in rows)
 
 
-def test_own_merging_equals_the_library():
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
-    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rng = random.Random(15)
-    pieces = ["".join(rng.choice("abcdeinorst éß1 ") for _ in range(rng.randrange(1, 200))) for _ in range(3000)] + ["x" * 40_000, " " * 40_000, "ab" * 20_000]
-    for p in pieces:
-        assert bpe.merged(p.encode(), ranks) == library._encode_single_piece(p.encode())
-        assert len(p) > 2000 or ranks.get(p.encode()) is not None or bpe._merged_long(p.encode(), ranks) == bpe.merged(p.encode(), ranks)
-
-
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_odd_rows(odd, name):
     """Nulls, empty and long texts, repeated rows, clashing columns: a row for each row (for repeats: of repeated units only)."""
