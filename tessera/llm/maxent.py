@@ -47,7 +47,7 @@ from tessera.llm import common
 #: Words known on every worker, groups, tiers of hot words in a group, buckets of word ends, hashed features, gradient steps, their length.
 HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 24, 0.4
 #: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
-SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 15
+SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 13
 #: Slots that are summed together, the parts of one that gradients are rounded to, words after which a worker's sums are taken over.
 BLOCK, PARTS, SAFE = 1 << 16, 1 << 8, 1 << 22
 #: The most that a weight comes to, so that the odds of a fork are finite.
@@ -390,12 +390,16 @@ class Forks:
 
     def class_start(self, contexts: np.ndarray) -> np.ndarray:
         """ln odds of the second part at each fork of the classes: [context, fork]."""
-        summed = np.concatenate([np.zeros((len(contexts), 1)), np.cumsum(np.exp(log_shares(contexts, self.model)), axis=1)], axis=1)
         a, m, b = self.v.class_tree.bounds.T
-        return (np.log(np.maximum(summed[:, b] - summed[:, m], 1e-12)) - np.log(np.maximum(summed[:, m] - summed[:, a], 1e-12))).astype(np.float32)
+        out = np.empty((len(contexts), len(m)), dtype=np.float32)
+        for start in range(0, len(contexts), HELD):
+            shares = np.exp(log_shares(contexts[start : start + HELD], self.model))
+            summed = np.concatenate([np.zeros((len(shares), 1)), np.cumsum(shares, axis=1)], axis=1)
+            out[start : start + HELD] = np.log(np.maximum(summed[:, b] - summed[:, m], 1e-12)) - np.log(np.maximum(summed[:, m] - summed[:, a], 1e-12))
+        return out
 
-    def parts(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For consecutive parts of the words, and in each for either tree: from, to; of each fork on their ways: the word, the way (1 to the second part), ln odds; its slots, an array for each feature."""
+    def parts(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For parts of the words, and in each for either tree: which words; of each fork on their ways: the word's place among these, the way (1 to the second part), ln odds; its slots, an array for each feature."""
         v, hot = self.v, len(self.v.hot_class)
         place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         leaf = np.where(found >= 0, found, hot + (-1 - found) % ENDS)
@@ -408,7 +412,11 @@ class Forks:
         with np.errstate(over="ignore"):
             told = [mixed(back[0]), mixed(back[0] * np.uint64(3) + mixed(back[1])), mixed(back[1] + np.uint64(5)), mixed(back[2] + np.uint64(7))]
         told = [(h >> np.uint64(32)).astype(np.uint32) for h in told]
-        distinct, at = np.unique(context, return_inverse=True)
+        # Words with the same word before them follow each other, so that their slots are met together.
+        order = np.argsort(told[0].astype(np.uint64) << np.uint64(32) | leaf.astype(np.uint64))
+        told = [h[order] for h in told]
+        of, leaf = of[order], leaf[order]
+        distinct, at = np.unique(context[order], return_inverse=True)
         class_starts = self.class_start(distinct)
         at = (at * class_starts.shape[1]).astype(np.int32)
         for a in range(0, len(of), HELD):
@@ -432,13 +440,13 @@ class Forks:
                     slot >>= self.shift
                     x += self.slots.take(slot.view(np.int32))
                     slots.append(slot.view(np.int32))
-                yield a, b, own, right.astype(np.float32), x, slots
+                yield order[a:b], own, right.astype(np.float32), x, slots
 
     def logs(self, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> np.ndarray:
         """ln of the share of each word, or for other words of their end."""
         out = np.zeros(len(of))
-        for a, b, own, way, x, _ in self.parts(n, found, of, context):
-            out[a:b] -= np.bincount(own, weights=np.log(1 + np.exp(x * (1 - 2 * way))), minlength=b - a)
+        for words, own, way, x, _ in self.parts(n, found, of, context):
+            out[words] -= np.bincount(own, weights=np.log(1 + np.exp(x * (1 - 2 * way))), minlength=len(words))
         return out
 
 
@@ -474,11 +482,13 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
 
             for part in parts_of(batches, 0):
                 n, found = lists_of(part.column(0))
-                for a, b, _, way, x, at in forks.parts(n, found, *context_of(n, found, v)):
+                for words, _, way, x, at in forks.parts(n, found, *context_of(n, found, v)):
                     if taken > SAFE:
-                        total = np.concatenate([halves(start) for start in range(0, size, BLOCK)], axis=1)
+                        total = np.zeros((2, size), dtype=np.int64) if total is None else total
+                        for start in range(0, size, BLOCK):
+                            total[:, start : start + BLOCK] = halves(start)
                         sums[:], taken = 0, 0
-                    taken += b - a
+                    taken += len(words)
                     p = 1 / (1 + np.exp(-x))
                     both = np.empty((len(p), 2), dtype=np.int32)  # of a little-endian machine
                     both[:, 0] = p * (1 - p) * PARTS + 0.5
