@@ -59,6 +59,8 @@ FLUSH = 300_000
 FEATURES = 5
 #: Hashes that words beyond the hot ones are told apart by, so that they and their end make a positive 32-bit number.
 OTHERS = 1 << 19
+#: Training words for each task of a pass, where there are more tasks than cores: every task passes on sums of its own.
+WORDS = 1 << 22
 #: Tasks of a gradient step.
 TASKS = 4
 
@@ -535,7 +537,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str |
     shared = spark.sparkContext.broadcast(v)
     # Rows, not documents, are numbered: keys may repeat.
     runs = common.written(split_rows(own.select("doc_id", "text", "held_out"), shared).withColumn("row", F.monotonically_increasing_id()), "runs")
-    ids = runs.filter(~F.col("held_out")).select("ids")
+    ids = runs.filter(~F.col("held_out")).select("ids").coalesce(max(spark.sparkContext.defaultParallelism, v.tokens // WORDS))
     events = common.written(event_counts(ids, shared), "events")
     model = spark.sparkContext.broadcast(train(events, v.classes, steps=steps))
     slots = spark.sparkContext.broadcast(fit(ids, shared, model, size, passes))
