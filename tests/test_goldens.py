@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,43 @@ def test_clarity_of_two_chunks(spark):
     assert sorted(rows(chunk_quality.boundary_clarity(v), "doc_id", F.round("clarity", 9))) == [(1, 0.4), (2, 1.0)]
 
 
+def gain_pair_by_pair(spark, v, h):
+    """Mean positive similarity over all pairs of rows at different positions, as the SQL has it."""
+    a, b = (v.select("doc_id", F.col("pos").alias(i), F.col("embedding").alias(e)) for i, e in (("i", "ea"), ("j", "eb")))
+    mi = a.join(b, "doc_id").filter("i <> j").groupBy("doc_id", "i").agg(F.avg(F.greatest(vectors.cosine(F.col("ea"), F.col("eb")), F.lit(0.0))).alias("mi")).groupBy("doc_id").agg(F.avg("mi").alias("mi"))
+    gain = F.when(F.col("mi").isNull(), 1.0).otherwise(vectors.clipped(F.col("h") * (1 - F.col("mi"))))
+    return dict(rows(h.join(mi, "doc_id", "left"), "doc_id", gain))
+
+
+@pytest.mark.parametrize("most", [2, 3, 8192])
+def test_gain_of_odd_rows_equals_all_pairs(spark, most, monkeypatch):
+    """Over several blocks of a document, or one: repeated positions, copies, nulls, no length, other widths, NaN."""
+    monkeypatch.setattr(chunk_quality, "LEAST", most)
+    monkeypatch.setattr(chunk_quality, "MOST", most)
+    monkeypatch.setattr(chunk_quality, "HELD", 8)
+    rng = np.random.default_rng(3)
+    made = [(1, i, rng.normal(size=4).tolist()) for i in range(9)] + [(1, 3, rng.normal(size=4).tolist()), (1, 3, None), (1, 9, [1.0, None, 0.0, 2.0]), (1, 10, [0.0] * 4), (1, 11, [1.0, 2.0]), (1, 12, [])]
+    made += [(2, 0, [1.0, 0.0]), (2, 1, [0.6, 0.8]), (3, 0, [1.0, 0.0]), (4, 5, [1.0, 0.0]), (4, 5, [1.0, 0.0]), (5, 0, [1.0, 1.0]), (5, 0, [1.0, 1.0]), (5, 1, [1.0, 1.0])]
+    made += [(6, None, [1.0]), (None, 0, [1.0]), (7, 0, [1.0, math.nan]), (7, 1, [0.0, 0.0]), (8, 0, [1.0, 0.0]), (8, 1, [-1.0, 0.0]), (9, 0, None), (9, 1, None)]
+    v = spark.createDataFrame(made, "doc_id long, pos long, embedding array<double>")
+    h = spark.createDataFrame([(d, d, 0.7) for d in range(1, 12)], "doc_id long, pos long, h double")
+    got = dict(rows(chunk_quality.information_gain(v, h), "doc_id", "gain"))
+    want = gain_pair_by_pair(spark, v, h)
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want), (got, want)
+
+
+def test_gain_makes_no_row_of_a_pair(spark):
+    """12,000 rows of one document are 144 million pairs: as rows they would take minutes."""
+    v = spark.range(12_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sin(F.col("id") * k).cast("float")).alias("embedding"))
+    h = spark.createDataFrame([(1, 0, 1.0)], "doc_id int, pos long, h double")
+    x = np.array([r["embedding"] for r in v.select("embedding").collect()])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = 1 - (sum(np.maximum(x[i : i + 1000] @ x.T, 0).sum() for i in range(0, len(x), 1000)) - (x * x).sum()) / len(x) / (len(x) - 1)
+    gain = chunk_quality.information_gain(v, h)
+    assert abs(gain.first()["gain"] - want) < 1e-9
+    assert "FlatMapGroupsInArrow" in gain._jdf.queryExecution().toString()
+
+
 def test_sentences(spark):
     t = F.lit("Aaaa bbbb cc. Dd! Eeee ffff gggg?")
     assert len(value(spark, text.sentences(t))) == 3
