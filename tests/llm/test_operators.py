@@ -214,6 +214,26 @@ def test_language_model_trees_are_a_distribution(spark):
     assert abs(np.exp(logs[1::2]).sum() - 1) < 1e-4
 
 
+def test_language_model_does_nothing_twice(spark):
+    """The odds of classes are computed once for each context, and weights that are all 0 are not read; the shares stay the same."""
+    import numpy as np
+
+    rng, np_rng = random.Random(5), np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"r{min(rng.randrange(300), rng.randrange(300))}" for _ in range(60)), "x", "s", 0) for i in range(60)], SCHEMA)
+    v = maxent.vocabulary(maxent.word_counts(docs.select(F.col("text").cast("binary").alias("text"), F.col("lang").alias("grp"))), hot=60)
+    model = np_rng.normal(size=(maxent.HASHED, v.classes)).astype("float32")
+    n, found = np.full(20, 30), np_rng.integers(0, len(v.hot_class), 600)
+    of, context = maxent.context_of(n, found, v)
+    forks, told = maxent.Forks(v, model, np.zeros(1 << 12, dtype="float32")), []
+    computed = forks.class_start
+    forks.class_start = lambda contexts: told.extend(contexts.tolist()) or computed(contexts)
+    forks.slots = None
+    logs = [forks.logs(n, found, of, context) for _ in range(2)]
+    assert sorted(told) == sorted(set(context.tolist()))
+    read = maxent.Forks(v, model, np.full(1 << 12, 1e-12, dtype="float32"))
+    assert (logs[0] == logs[1]).all() and np.abs(logs[0] - read.logs(n, found, of, context)).max() < 1e-6
+
+
 def components_of(sets, least=75):
     parent = {d: d for d in sets}
 
