@@ -8,7 +8,7 @@ and the second and third before alone. It is trained by distributed gradient ste
 class) that all training texts give; their number is bounded by the number of classes. The second starts from the word's
 share of its class. From there on both are softmaxes over binary trees, one over the classes and one over the words of
 each class, which the counts halve. The log-odds of each fork are what the start gives, plus the weights of the features
-at that fork, hashed into one table of SLOTS. Forks with weights of 0 give the start; each one is normalised, so all are.
+at that fork, hashed into one table of SLOTS, where near forks of one feature lie together. Forks with weights of 0 give the start; each one is normalised, so all are.
 Each of PASSES goes over all words of the training texts: tasks sum, for each weight, what was seen less what was
 expected and its variance, rounded to integers, so that the order in which tasks are added does not matter; the driver
 takes a damped Newton step.
@@ -32,10 +32,13 @@ clash. Long texts are handled whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import mmap
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -51,6 +54,8 @@ HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 2
 SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 13
 #: Slots that are summed together, the parts of one that gradients are rounded to, words after which a worker's sums are taken over.
 BLOCK, PARTS, SAFE = 1 << 16, 1 << 8, 1 << 22
+#: Levels of forks whose weights lie together: what a word reads of them is in one line of the cache.
+HIGH = 4
 #: The most that a weight comes to, so that the odds of a fork are finite.
 HIGHEST = 16.0
 #: The end of a text; no word holds white space.
@@ -110,31 +115,39 @@ class Tree:
     forks: np.ndarray
     right: np.ndarray  # whether the way goes to the second part
     bounds: np.ndarray  # of each fork: first leaf, first leaf of the second part, end
-    keys: np.ndarray  # of each fork, for hashing: 32 bits
+    keys: np.ndarray  # of each fork, for hashing: 32 bits; those of HIGH levels have the key of the first, but for their place below it in the last bits
 
 
 def tree_over(groups: list[np.ndarray], weight: np.ndarray, first: int = 0) -> Tree:
     """A tree over each group of leaves, in its order, halved by weight. Forks are numbered from 0 and hashed as from `first`."""
-    order = np.concatenate([np.empty(0, np.int64), *groups]).astype(np.int64)
+    order = np.concatenate([np.empty(0, np.int64), *groups]).astype(np.int32)
     summed = np.concatenate([[0.0], np.cumsum(weight[order] + 1e-9)])
     ends = np.cumsum([len(g) for g in groups], dtype=np.int64)
     low, high = ends - np.array([len(g) for g in groups], dtype=np.int64), ends
-    steps, bounds, n = [], [], 0
+    steps, bounds, keys, n = [], [], [], 0
+    # The key of the fork that a fork lies below, its place there: 1, then 2 and 3, and so on; 0 before the first one.
+    key, below = np.zeros(len(low), dtype=np.uint64), np.zeros(len(low), dtype=np.uint64)
     while (split := high - low > 1).any():
-        low, high = low[split], high[split]
+        low, high, key, below = low[split], high[split], key[split], below[split]
+        own = (below == 0) | (below >= 1 << HIGH)
+        key = np.where(own, mixed(np.arange(first + n, first + n + len(low), dtype=np.uint64)) >> np.uint64(32 + HIGH) << np.uint64(HIGH), key)
+        below = np.where(own, np.uint64(1), below)
         middle = np.clip(np.searchsorted(summed, (summed[low] + summed[high]) / 2), low + 1, high - 1)
         size = high - low
         fork = np.repeat(np.arange(len(low)), size)
         at = np.arange(len(fork)) - np.repeat(np.cumsum(size) - size, size) + low[fork]
-        steps.append((order[at], fork + n, at >= middle[fork]))
+        steps.append((order[at], (fork + n).astype(np.int32), at >= middle[fork]))
         bounds.append(np.stack([low, middle, high], axis=1))
+        keys.append((key | below).astype(np.uint32))
         n += len(low)
+        key, below = np.tile(key, 2), np.concatenate([2 * below, 2 * below + 1])
         low, high = np.concatenate([low, middle]), np.concatenate([middle, high])
-    leaf, fork, right = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+    leaf, fork, right = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool))
+    del steps
     by = np.argsort(leaf, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(weight)))]).astype(np.int64)
     bounds = np.concatenate(bounds) if bounds else np.empty((0, 3), np.int64)
-    return Tree(starts, fork[by].astype(np.int32), right[by], bounds, (mixed(np.arange(first, first + n, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32))
+    return Tree(starts, fork[by], right[by], bounds, np.concatenate([np.empty(0, np.uint32), *keys]))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -370,6 +383,28 @@ def train(events: DataFrame, classes: int, hashed: int = HASHED, steps: int = ST
     return weights
 
 
+def trim() -> None:
+    """Gives back to the system what earlier tasks of this worker have freed (the texts they split): all of an executor's workers share its memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def table(shape: int | tuple[int, ...], kind: type) -> np.ndarray:
+    """Zeros in memory of their own, in large pages where the system has them: places in it are met at random. It goes back to the system as soon as nothing holds it."""
+    n = int(np.prod(shape)) * np.dtype(kind).itemsize
+    large = 1 << 21
+    own = mmap.mmap(-1, n + large, **({"flags": mmap.MAP_PRIVATE | mmap.MAP_ANONYMOUS} if hasattr(mmap, "MAP_ANONYMOUS") else {}))
+    if n >= large and hasattr(mmap, "MADV_HUGEPAGE"):
+        try:
+            own.madvise(mmap.MADV_HUGEPAGE)
+        except OSError:  # a system without large pages
+            pass
+    out = np.frombuffer(own, np.uint8)
+    first = -out.ctypes.data % large
+    return out[first : first + n].view(kind).reshape(shape)
+
+
 class Forks:
     """The forks of words in their contexts, and the weights of the features there."""
 
@@ -377,17 +412,29 @@ class Forks:
         self.v, self.model, self.slots = v, model, slots
         self.shift = np.uint32(32 - (len(slots).bit_length() - 1))
         self.blank = not slots.any()
+        if not self.blank:
+            self.slots = table(slots.shape, np.float32)
+            self.slots[:] = slots
         # The odds of classes in each context met so far: few contexts, as there are few classes.
         self.met = np.zeros((v.classes + 1) ** 3, dtype=bool)
-        self.starts = np.zeros((len(self.met), len(v.class_tree.bounds)), dtype=np.float32)
+        self.starts = table((len(self.met), len(v.class_tree.bounds)), np.float32)
         # Where a hot word's way through the trees starts: its class's way, then its own.
         place = np.concatenate([[0.0], np.cumsum(np.concatenate([v.hot_count, v.end_weight])[self.order()] + 1e-9)])
         a, m, b = v.word_tree.bounds.T
         start = (np.log(place[b] - place[m]) - np.log(place[m] - place[a])).astype(np.float32)
+
+        def told(tree: Tree, odds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            out = table(len(tree.forks), np.uint64)
+            both = out.view(np.uint32).reshape(-1, 2)  # of a little-endian machine, as Arrow's are
+            for i in range(0, len(out), BLOCK):
+                forks = tree.forks[i : i + BLOCK]
+                both[i : i + BLOCK, 0] = (forks if odds is None else odds[forks]).view(np.uint32)
+                both[i : i + BLOCK, 1] = tree.keys[forks] << np.uint32(1) | tree.right[i : i + BLOCK]
+            return tree.starts.astype(np.int32), out
+
         # For either tree: where each leaf's way starts; of each fork on it, in one number, the key with the way as its last
         # bit, and what the odds start from (of classes: the fork, as they depend on the context).
-        told = lambda tree, odds: (tree.starts.astype(np.int32), (tree.keys[tree.forks] >> np.uint32(1) << np.uint32(1) | tree.right).astype(np.uint64) << np.uint64(32) | odds.view(np.uint32))
-        self.ways = told(v.class_tree, v.class_tree.forks), told(v.word_tree, start[v.word_tree.forks])
+        self.ways = told(v.class_tree, None), told(v.word_tree, start)
 
     def order(self) -> np.ndarray:
         tiers, hot = (self.v.classes - 1) // len(self.v.unseen), len(self.v.hot_class)
@@ -433,21 +480,24 @@ class Forks:
             for (starts, forks), leaves in zip(self.ways, (of[a:b], leaf[a:b]), strict=True):
                 first = starts[leaves]
                 size = starts[leaves + 1] - first
-                own = np.repeat(np.arange(b - a, dtype=np.int32), size)
+                own = np.repeat(np.arange(b - a), size)
+                # All places are within bounds. To clip them is quicker than to look whether one has to be refused, and to
+                # take by place quicker than to repeat.
                 way = np.arange(len(own), dtype=np.intp)
-                way += np.repeat(first - (np.cumsum(size, dtype=np.int32) - size), size)
-                # All places are within bounds. To clip them is quicker than to look whether one has to be refused.
+                way += (first - (np.cumsum(size, dtype=np.int32) - size)).take(own, mode="clip")
                 both = forks.take(way, mode="clip").view(np.uint32).reshape(-1, 2)  # of a little-endian machine, as Arrow's are
                 odds, key = both[:, 0].copy(), both[:, 1].copy()
-                right = key & np.uint32(1)
-                key ^= right  # the slot of a fork must not tell the way
-                x = self.starts.take(np.repeat(at[a:b], size) + odds.view(np.int32), mode="clip") if forks is self.ways[0][1] else odds.view(np.float32)
+                right = key & np.uint32(1)  # the slot of a fork must not tell the way
+                below = key >> np.uint32(1) & np.uint32((1 << HIGH) - 1)
+                key >>= np.uint32(HIGH + 1)
+                x = self.starts.take(at[a:b].take(own, mode="clip") + odds.view(np.int32), mode="clip") if forks is self.ways[0][1] else odds.view(np.float32)
                 slots = []
                 for h in told:
-                    slot = np.repeat(h[a:b], size)
+                    slot = h[a:b].take(own, mode="clip")
                     slot ^= key
                     slot *= np.uint32(0x9E3779B1)
                     slot >>= self.shift
+                    slot ^= below
                     slot = slot.astype(np.intp)
                     if not self.blank:  # all weights are 0 in the first pass
                         x += self.slots.take(slot, mode="clip")
@@ -461,15 +511,32 @@ class Forks:
             out[words] -= np.bincount(own, weights=np.log(1 + np.exp(x * (1 - 2 * way))), minlength=len(words))
         return out
 
+    def add(self, sums: np.ndarray, n: np.ndarray, found: np.ndarray, of: np.ndarray, context: np.ndarray) -> Iterator[int]:
+        """Adds to the sums of slots what was seen less what was expected in the upper half of a number, and the variance in
+        the lower one, both in integers. How many words were added, again and again, so that the sums can be taken over."""
+        for words, _, way, x, at in self.parts(n, found, of, context):
+            p = 1 / (1 + np.exp(-x))
+            both = np.empty((len(p), 2), dtype=np.int32)  # of a little-endian machine
+            both[:, 0] = p * (1 - p) * PARTS + 0.5
+            both[:, 1] = np.rint((way - p) * PARTS)
+            both = both.view(np.int64).ravel()
+            for slot in at:
+                np.add.at(sums, slot, both)
+            yield len(words)
+
 
 def packed(x: np.ndarray) -> bytes:
-    """Integers, mostly small, as compressed planes of bytes."""
-    return zlib.compress((x << 1 ^ x >> 63).reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+    """Integers, mostly small, as compressed planes of bytes: their number, then those that are not all 0."""
+    x = (x << 1 ^ x >> 63).view(np.uint64)
+    planes = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([planes]) + pa.compress(x.reshape(-1, 1).view(np.uint8).T[:planes].tobytes(), "zstd", asbytes=True)
 
 
-def unpacked(x: bytes) -> np.ndarray:
-    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-    return x >> 1 ^ -(x & 1)
+def unpacked(x: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : x[0]] = np.frombuffer(pa.decompress(x[1:], n * x[0], "zstd", asbytes=True), np.uint8).reshape(x[0], n).T
+    out = out.view(np.uint64).ravel()
+    return (out >> np.uint64(1)).view(np.int64) ^ -(out & np.uint64(1)).view(np.int64)
 
 
 def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np.ndarray:
@@ -480,10 +547,10 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
         given = spark.sparkContext.broadcast(slots)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            trim()
             v, forks = shared.value, Forks(shared.value, model.value, given.value)
-            # What was seen less what was expected in the upper half of a number, and the variance in the lower one, both in
-            # integers. Neither half can overflow before the sums are taken over.
-            sums, taken, total = np.zeros(size, dtype=np.int64), 0, None
+            # Neither half of a sum can overflow before the sums are taken over.
+            sums, taken, total = table(size, np.int64), 0, None
 
             def halves(start: int) -> np.ndarray:
                 """Both sums of a block of slots."""
@@ -494,20 +561,13 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
 
             for part in parts_of(batches, 0):
                 n, found = lists_of(part.column(0))
-                for words, _, way, x, at in forks.parts(n, found, *context_of(n, found, v)):
+                for words in forks.add(sums, n, found, *context_of(n, found, v)):
+                    taken += words
                     if taken > SAFE:
-                        total = np.zeros((2, size), dtype=np.int64) if total is None else total
+                        total = table((2, size), np.int64) if total is None else total
                         for start in range(0, size, BLOCK):
                             total[:, start : start + BLOCK] = halves(start)
                         sums[:], taken = 0, 0
-                    taken += len(words)
-                    p = 1 / (1 + np.exp(-x))
-                    both = np.empty((len(p), 2), dtype=np.int32)  # of a little-endian machine
-                    both[:, 0] = p * (1 - p) * PARTS + 0.5
-                    both[:, 1] = np.rint((way - p) * PARTS)
-                    both = both.view(np.int64).ravel()
-                    for slot in at:
-                        np.add.at(sums, slot, both)
             for start in range(0, size, BLOCK):
                 own = halves(start)
                 if own.any():
@@ -517,7 +577,7 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for block, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = unpacked(told).reshape(2, -1)
+                    own = unpacked(told, 2 * min(size, BLOCK)).reshape(2, -1)
                     sums[block] = sums[block] + own if block in sums else own
             for block, (g, h) in sums.items():
                 step = STRIDE * g / (h + DAMP * PARTS)
@@ -547,6 +607,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str |
     shared = spark.sparkContext.broadcast(v)
     # Rows, not documents, are numbered: keys may repeat.
     runs = common.written(split_rows(own.select("doc_id", "text", "held_out"), shared).withColumn("row", F.monotonically_increasing_id()), "runs")
+    # From here on words are numbers: what workers hold beside their sums is without the words themselves.
+    shared.destroy()
+    shared = spark.sparkContext.broadcast(replace(v, hot={}))
     ids = runs.filter(~F.col("held_out")).select("ids").coalesce(max(spark.sparkContext.defaultParallelism, v.tokens // WORDS))
     events = common.written(event_counts(ids, shared), "events")
     model = spark.sparkContext.broadcast(train(events, v.classes, steps=steps))
@@ -554,6 +617,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", group: str |
     ten = 1 / np.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         v, forks = shared.value, Forks(shared.value, model.value, slots.value)
         ends_of = np.log10(v.end_weight)
         for part in parts_of(batches, 5):

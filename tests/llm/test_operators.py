@@ -234,6 +234,50 @@ def test_language_model_does_nothing_twice(spark):
     assert (logs[0] == logs[1]).all() and np.abs(logs[0] - read.logs(n, found, of, context)).max() < 1e-6
 
 
+def test_language_model_holds_little_in_a_worker(spark, monkeypatch):
+    """What the passes are given has no words, and to set up the forks takes little beside the tables that are kept (before: 32 bytes a fork on the words' ways)."""
+    import tracemalloc
+
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 97 + k) % 20_000}" for k in range(100)), "x", "s", 0) for i in range(1_000)], SCHEMA)
+    seen, fit = [], maxent.fit
+    monkeypatch.setattr(maxent, "fit", lambda learnt, shared, *rest: seen.append(shared.value) or fit(learnt, shared, *rest))
+    assert maxent.score(docs, steps=1, size=1 << 12, passes=1).count() == 1_000
+    (v,) = seen
+    assert not v.hot and len(v.hot_class) > 15_000
+    model, slots = np.zeros((maxent.HASHED, v.classes), dtype="float32"), np.zeros(1 << 12, dtype="float32")
+    tracemalloc.start()
+    try:
+        forks = maxent.Forks(v, model, slots)
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(forks.ways[1][1])
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_model_lays_near_forks_together():
+    """Forks of HIGH levels have one block of slots for each feature, and places of their own in it."""
+    import numpy as np
+
+    tree = maxent.tree_over([np.arange(1_000), 1_000 + np.arange(3)], np.ones(1_003), 7)
+    blocks, place = tree.keys >> maxent.HIGH, tree.keys % (1 << maxent.HIGH)
+    assert len(tree.keys) == len(set(tree.keys.tolist())) == 999 + 2 and place.min() == 1
+    for leaf in (0, 5, 999, 1_002):
+        way = tree.forks[tree.starts[leaf] : tree.starts[leaf + 1]]
+        for a in range(0, len(way), maxent.HIGH):
+            near = way[a : a + maxent.HIGH]
+            assert len(set(blocks[near].tolist())) == 1 and [int(x).bit_length() for x in place[near]] == list(range(1, len(near) + 1))
+        assert len(set(blocks[way].tolist())) == -(-len(way) // maxent.HIGH)
+
+
+def test_sums_are_packed_whole():
+    import numpy as np
+
+    for x in ([0, 0], [0, -1, 127, -128, 128], [2**40, -(2**40), 3], [2**62, -(2**62) - 1], [-(2**63), 2**63 - 1]):
+        x = np.array(x, dtype=np.int64)
+        assert maxent.unpacked(maxent.packed(x), len(x)).tolist() == x.tolist()
+
+
 def components_of(sets, least=75):
     parent = {d: d for d in sets}
 
