@@ -52,8 +52,8 @@ from tessera.llm import common
 HOT, GROUPS, TIERS, ENDS, HASHED, STEPS, RATE = 200_000, 4, 7, 4_096, 1 << 12, 24, 0.4
 #: Weights of word features at forks, passes over all words, the length of their steps, what damps them; words that a worker holds the forks of at a time.
 SLOTS, PASSES, STRIDE, DAMP, HELD = 1 << 22, 2, 0.5, 3.0, 1 << 13
-#: Slots that are summed together, the parts of one that gradients are rounded to, words after which a worker's sums are taken over.
-BLOCK, PARTS, SAFE = 1 << 16, 1 << 8, 1 << 22
+#: Slots that are summed together, the parts of one that gradients are rounded to, words after which a worker looks at its sums, from where on it takes them over.
+BLOCK, PARTS, SAFE, NEAR = 1 << 16, 1 << 8, 1 << 21, 1 << 30
 #: Levels of forks whose weights lie together: what a word reads of them is in one line of the cache.
 HIGH = 4
 #: The most that a weight comes to, so that the odds of a fork are finite.
@@ -549,7 +549,8 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             trim()
             v, forks = shared.value, Forks(shared.value, model.value, given.value)
-            # Neither half of a sum can overflow before the sums are taken over.
+            # Neither half of a sum can overflow: between two looks at them no half grows by more than NEAR. Few tasks have a
+            # sum that comes near; only these hold both halves as numbers of their own.
             sums, taken, total = table(size, np.int64), 0, None
 
             def halves(start: int) -> np.ndarray:
@@ -564,10 +565,12 @@ def fit(learnt: DataFrame, shared, model, size: int, passes: int = PASSES) -> np
                 for words in forks.add(sums, n, found, *context_of(n, found, v)):
                     taken += words
                     if taken > SAFE:
-                        total = table((2, size), np.int64) if total is None else total
-                        for start in range(0, size, BLOCK):
-                            total[:, start : start + BLOCK] = halves(start)
-                        sums[:], taken = 0, 0
+                        taken = 0
+                        if any(np.abs(own >> 32).max() >= NEAR or (own & 0xFFFFFFFF).max() >= NEAR for own in np.split(sums, range(BLOCK, size, BLOCK))):
+                            total = table((2, size), np.int64) if total is None else total
+                            for start in range(0, size, BLOCK):
+                                total[:, start : start + BLOCK] = halves(start)
+                            sums[:] = 0
             for start in range(0, size, BLOCK):
                 own = halves(start)
                 if own.any():

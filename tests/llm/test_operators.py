@@ -255,6 +255,24 @@ def test_language_model_holds_little_in_a_worker(spark, monkeypatch):
         tracemalloc.stop()
 
 
+def test_language_model_takes_sums_over_only_near_overflow(spark, monkeypatch):
+    """Sums that are taken over are the same, and a task does not hold them apart (before: from 2 million words on) while they are small."""
+    texts = spark.createDataFrame([(i, " ".join(f"r{(i * k) % 90}" for k in range(60)), "x", "s", 0) for i in range(300)], SCHEMA)
+    score = lambda: [(r["doc_id"], r["score"]) for r in maxent.score(texts, steps=1, size=1 << 12).orderBy("doc_id").collect()]
+    whole, table = score(), maxent.table
+    monkeypatch.setattr(maxent, "SAFE", 500)
+
+    def refused(shape, kind):
+        assert shape != (2, 1 << 12)
+        return table(shape, kind)
+
+    monkeypatch.setattr(maxent, "table", refused)
+    assert score() == whole
+    monkeypatch.setattr(maxent, "table", table)
+    monkeypatch.setattr(maxent, "NEAR", 1)
+    assert score() == whole
+
+
 def test_language_model_lays_near_forks_together():
     """Forks of HIGH levels have one block of slots for each feature, and places of their own in it."""
     import numpy as np
